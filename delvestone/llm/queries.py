@@ -5,14 +5,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, split
+from . import bpe, neardup, split
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def _cluster_text() -> Column:
+    return F.concat_ws("\n", "name", "description", "content")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of near-duplicate records, copies included, as the case is defined."""
+    links, members = neardup.near_duplicates(neardup.bags(table(spark, d, "knowledge_clusters"), "id", _cluster_text(), 40))
+    left = members.select(F.col("bag").alias("a"), F.col("id").alias("x"))
+    right = members.select(F.col("bag").alias("b"), F.col("id").alias("y"))
+    between = links.join(left, "a").join(right, "b").select("x", "y")
+    within = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+    return between.union(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record: its class of equal records, the class's size, and its links to other classes."""
+    links, members = neardup.near_duplicates(neardup.bags(table(spark, d, "knowledge_clusters"), "id", _cluster_text(), 40))
+    degree = links.select(F.explode(F.array("a", "b")).alias("bag")).groupBy("bag").agg(F.count("*").alias("n_links"))
+    size = members.groupBy("bag").agg(F.count("*").alias("n_copies"))
+    return members.join(size, "bag").join(degree, "bag", "left").select("id", F.col("bag").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     items = split.oversized_leaves(table(spark, d, "tree_nodes"), table(spark, d, "extraction_outputs"), 4000)
     return split.split_items(items)
