@@ -8,12 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, split
+from . import bpe, neardup, similar, split
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of which one is among the 5 most similar to the other, with a cosine of at least 0.70."""
+    near = similar.most_similar(table(spark, d, "knowledge_clusters"), "id", "embedding_vector", "embedding_model", 384, k=5, min_cos=0.70)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 def _cluster_text() -> Column:
     return F.concat_ws("\n", "name", "description", "content")
 
