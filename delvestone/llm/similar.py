@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, require
+from .common import bounded, materialise, require
 
 
 def _assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -165,7 +165,12 @@ def most_similar(
     if n == 0:
         return spark.createDataFrame([], schema)
     extra, copied = _copies(vectors, k)
-    stored = vectors.join(extra, "id", "left_anti")
+    extra = materialise(extra)  # empty, but where many vectors are equal
+    spare = extra.count()
+    if spare == 0:
+        stored = vectors
+    else:
+        stored = vectors.join(F.broadcast(extra) if spare <= 200_000 else extra, "id", "left_anti")
 
     first = min(4096, max(1, round(n / per_cell)))
     second = max(1, round(n / per_cell / first))
