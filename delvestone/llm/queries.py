@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, similar, split
+from . import bpe, langid, neardup, similar, split
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -20,6 +20,37 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "extraction_outputs").select("file_id", "content", langid.given_label(F.col("detected_languages")).alias("given"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs whose record has no language label or another one than theirs."""
+    records = _labelled(spark, d)
+    own = langid.label_paragraphs(records.withColumn("key", F.struct("file_id", "given")), "key", "content", langid.fit(records, "file_id", "content", "given"))
+    wrong = F.col("key.given").isNull() | (F.col("key.given") != F.col("lang"))
+    return own.where(wrong).select("key.file_id", "para_no", "lang").distinct()
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The language, with a confidence, of each run of sentences of one language."""
+    records = _labelled(spark, d)
+    coder = langid.fit(records, "file_id", "content", "given")
+    return langid.label_paragraphs(records, "file_id", "content", coder, segments=True).distinct()
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each record: the one that most of its letters are written in."""
+    records = _labelled(spark, d)
+    coder = langid.fit(records, "file_id", "content", "given")
+    letters = (
+        langid.label_paragraphs(records, "file_id", "content", coder, least_letters=1).distinct()
+        .groupBy("file_id", "lang").agg(F.sum("letters").alias("n"), F.avg("confidence").alias("c"))
+    )
+    best = letters.groupBy("file_id").agg(F.max(F.struct("n", "lang", "c")).alias("b"), F.sum("n").alias("total"))
+    return best.select("file_id", F.col("b.lang").alias("lang"), (F.col("b.c") * F.col("b.n") / F.col("total")).alias("confidence"))
+
+
 def _cluster_text() -> Column:
     return F.concat_ws("\n", "name", "description", "content")
 
