@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, similar, split
+from . import bpe, langid, leaks, neardup, similar, split
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -87,6 +87,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text", bpe.read_ranks(TOKENIZER))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with leaked passages: how many items, and the largest share of one."""
+    found = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("share").alias("largest_share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
