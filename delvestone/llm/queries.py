@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, leaks, neardup, similar, split
+from . import bpe, langid, leaks, neardup, similar, split, subjects
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -97,6 +97,21 @@ def p7_documents(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("share").alias("largest_share"))
 
 
+def _subject_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = subjects.fit(docs, table(spark, d, "doc_labels"), table(spark, d, "subject_areas"))
+    return subjects.label_documents(docs, model)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subject_shares(spark, d).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the corpus: documents and mean share of sentences of each subject."""
+    return _subject_shares(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("n_documents"), F.avg("share").alias("mean_share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
