@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, leaks, neardup, similar, split, subjects
+from . import bpe, langid, leaks, neardup, scans, similar, split, subjects
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -83,6 +83,17 @@ def p4_cohesion(spark: SparkSession, d: str) -> DataFrame:
     return split.split_items(items, rule="cohesion")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "page_contents")
+    return scans.line_kinds(pages, scans.learn(pages))
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired paragraphs of each page."""
+    pages = table(spark, d, "page_contents")
+    return scans.repaired(pages, scans.learn(pages))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text", bpe.read_ranks(TOKENIZER))
 
