@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, labelled: int =
     require(docs, "doc_id", "text", "lang")
     require(labels, "doc_id", "subject", "annotator")
     known = [r[0] for r in bounded(subjects.select("subject").where("subject is not null").distinct().orderBy("subject").limit(1001).collect(), 1000, "subjects")]
-    votes = labels.select("doc_id", "subject", "annotator").distinct().groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
+    votes = labels.select("doc_id", "subject", "annotator").where(F.col("subject").isin(known)).distinct().groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
     votes = votes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("votes"))
     text = docs.select("doc_id", "text", "lang").where(F.length("text") > 0)
 
