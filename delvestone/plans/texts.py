@@ -163,7 +163,7 @@ def i5(spark, d):
     return clusters(spark, d).where("name is not null and content is not null").select("id", F.least(F.lit(10.0), F.lit(5.0) * hit / 2 + F.when(n > 200, 2.0).when(n > 50, 1.5).otherwise(1.0)).alias("score"))
 
 
-BM = f"(WITH t AS (SELECT doc_id, {TOK} AS w FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, len(w)::DOUBLE AS n, len(list_filter(w, lambda x: x = 'appeal'))::DOUBLE AS a, len(list_filter(w, lambda x: x = 'tribunal'))::DOUBLE AS b FROM t), s AS (SELECT count(*)::DOUBLE AS N, avg(n) AS mean, count(*) FILTER (WHERE a > 0)::DOUBLE AS da, count(*) FILTER (WHERE b > 0)::DOUBLE AS db FROM r) SELECT doc_id, round(2 * ln((s.N - da + 0.5) / (da + 0.5) + 1) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * n / mean)) + ln((s.N - db + 0.5) / (db + 0.5) + 1) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * n / mean)), 6)::DOUBLE AS score FROM r, s WHERE a + b > 0)"
+BM = f"(WITH t AS (SELECT doc_id, {TOK} AS w FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, len(w)::DOUBLE AS n, len(list_filter(w, lambda x: x = 'appeal'))::DOUBLE AS a, len(list_filter(w, lambda x: x = 'tribunal'))::DOUBLE AS b FROM t), s AS (SELECT count(*)::DOUBLE AS total_docs, avg(n) AS mean, count(*) FILTER (WHERE a > 0)::DOUBLE AS da, count(*) FILTER (WHERE b > 0)::DOUBLE AS db FROM r) SELECT doc_id, round(2 * ln((s.total_docs - da + 0.5) / (da + 0.5) + 1) * a * 2.5 / (a + 1.5 * (0.25 + 0.75 * n / mean)) + ln((s.total_docs - db + 0.5) / (db + 0.5) + 1) * b * 2.5 / (b + 1.5 * (0.25 + 0.75 * n / mean)), 6)::DOUBLE AS score FROM r, s WHERE a + b > 0)"
 
 
 @query("i6_bm25", f"SELECT doc_id, score FROM {BM}")
