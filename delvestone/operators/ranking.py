@@ -114,7 +114,7 @@ def roi_windows(df: DataFrame, key: str, text: str, terms: list[str], rounds: in
 
     def scored(starts: Column) -> Column:
         def one(s):
-            part = F.call_function("substring", F.lower(F.col(text)), (s + 1).cast("int"), F.lit(size))
+            part = F.lower(F.call_function("substring", F.col(text), (s + 1).cast("int"), F.lit(size)))
             hits = sum((F.contains(part, F.lit(t)).cast("double") for t in terms), F.lit(0.0)) / len(terms)
             return F.struct((-F.round(hits * 10, 6)).alias("s"), s.alias("start"))
 
