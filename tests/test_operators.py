@@ -274,3 +274,22 @@ def test_subpackage_is_optional():
     for path in root.rglob("*.py"):
         if root / "llm" not in path.parents:
             assert "llm" not in path.read_text(), path
+
+
+def test_policies(spark):
+    from delvestone.operators import policies
+
+    df = spark.createDataFrame([("I cannot answer that from the given texts.", "5"), ("$1,577.00", "1577"), ("15.2%", "15.3%"), ("**Yes**", "yes"), ("7", "90"), ("blue", "red"), (None, "x")], "p string, g string")
+    assert [r[0] for r in df.select(policies.verdict("p", "g")).collect()] == ["refused", "numeric", "numeric", "exact", "wrong", "undecided", "refused"]
+    assert [r[0] for r in spark.createDataFrame([("Hello!",), ("thanks",), ("hello, what is the margin?",), (None,)], "q string").select(policies.small_talk("q")).collect()] == [True, True, False, None]
+    tools = policies.Tools()
+    tools.register("n", lambda n: spark.range(n))
+    tools.register("bad", lambda: 1 / 0)
+    with pytest.raises(ValueError):
+        tools.register("n", lambda n: spark.range(n))
+    steps = iter([("n", {"n": 3}), ("bad", {}), ("missing", {}), None])
+    history = policies.loop(tools, lambda h: next(steps))
+    assert len(history) == 3 and [entry[1].split(":")[0] for entry in tools.log] == ["ok", "ZeroDivisionError", "KeyError"]
+    assert policies.cascade(lambda: None, lambda: spark.range(0), lambda: spark.range(2)).count() == 2
+    v = spark.createDataFrame([("a b a",), ("",)], "t string").select(policies.hashed_embedding("t", 16)).collect()
+    assert abs(sum(x * x for x in v[0][0]) - 1) < 1e-9 and sum(v[1][0]) == 0
