@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lineage import materialise
+
 #: Words that open a structural heading, by level.
 STRUCTURAL = {1: "part|book", 2: "chapter|item|article", 3: "section|appendix|schedule"}
 
@@ -28,22 +30,24 @@ def cascade(found: DataFrame, key: str, kinds: list[str] | None = None) -> DataF
     return found.withColumn("__k", rank).withColumn("__m", F.min("__k").over(Window.partitionBy(key))).where("__k = __m").drop("__k", "__m")
 
 
-def depths(nodes: DataFrame, by: str, node: str, parent: str, most: int = 32) -> DataFrame:
+def depths(nodes: DataFrame, by: str, node: str, parent: str, most: int = 64) -> DataFrame:
     """(by, node, depth) of every node, breadth first from the roots.
 
-    Each round joins the frontier with the edges, and the frontier's lineage is
-    short: a tree has few levels, whatever its size.  A cycle has no root and
-    gives no row.
+    A round joins the nodes of one depth with the edges and writes the next
+    depth to the checkpoint folder, so that neither a long lineage nor a row
+    limit of recursive SQL stands in the way; a tree has few levels, whatever
+    its size.  A cycle has no root and gives no row.
     """
-    edges = nodes.select(by, F.col(node).alias("__n"), F.col(parent).alias("__p"))
-    spark = nodes.sparkSession
-    edges.createOrReplaceTempView("__delvestone_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(k, n, depth) AS (
-          SELECT `{by}`, __n, 0 FROM __delvestone_edges WHERE __p IS NULL
-          UNION ALL
-          SELECT e.`{by}`, e.__n, w.depth + 1 FROM walk w JOIN __delvestone_edges e ON e.`{by}` = w.k AND e.__p = w.n WHERE w.depth < {most}
-        ) SELECT k AS `{by}`, n AS `{node}`, CAST(depth AS BIGINT) AS depth FROM walk""")
+    edges = nodes.select(by, node, F.col(parent).alias("__p")).distinct()
+    level = materialise(edges.where("__p is null").select(by, node, F.lit(0).cast("bigint").alias("depth")))
+    out = level
+    for _ in range(most):
+        found = edges.join(level.withColumnRenamed(node, "__p"), [by, "__p"]).select(by, node, (F.col("depth") + 1).alias("depth"))
+        level = materialise(found)
+        if level.isEmpty():
+            break
+        out = out.union(level)
+    return out
 
 
 def leaves(nodes: DataFrame, by: str, node: str, parent: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import grep, policies, ranking, windows
 from ..sources import tables
+from ..sources.lineage import shared_folder
 from ..sources.tables import table
 from .registry import query
 from .relations import HITS, KC, SH, TN, clusters, history, hits, nodes
@@ -19,9 +20,8 @@ from .texts import BM
 
 @query("a3_export_round_trip", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
 def a3(spark, d):
-    """Through a versioned table in the session's shared folder, or a local one on one machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    store = tables.VersionedTable(spark, f"{base.removeprefix('file://')}/delvestone-export-{abs(hash(d)) % 10**8}")
+    """Through a versioned table in the session's shared folder."""
+    store = tables.VersionedTable(spark, f"{shared_folder(spark)}/export-{uuid.uuid4().hex}")
     store.write(table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"), "r_name"))
     return store.read()
 
