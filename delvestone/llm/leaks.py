@@ -141,12 +141,12 @@ def passages(doc: list[str], ref: list[str], seeds: list[tuple[int, int]], run:
     return [tuple(p) for p, _ in out]
 
 
-def _grow(p: tuple[int, int, int, int], doc: list[str], ref: list[str]) -> tuple[int, int]:
-    """The passage's part of the test text, with its edges carried over one more edit."""
+def _grow(p: tuple[int, int, int, int], doc: list[str], ref: list[str]) -> tuple[int, int, int, int]:
+    """The passage with its edges carried over one more edit."""
     r0, r1, d0, d1 = p
-    for a, b in ((2, 2), (1, 2), (2, 1), (1, 1)):  # past a changed, added, dropped word
-        if r0 - a - 1 >= 0 and d0 - b - 1 >= 0 and ref[r0 - a - 1 : r0 - a + 1] == doc[d0 - b - 1 : d0 - b + 1] and a == b == 1:
-            r0, d0 = r0 - 2, d0 - 2
+    for a, b in ((1, 1), (0, 1), (1, 0)):  # past a changed, added, dropped word, if two words agree beyond it
+        if r0 - a >= 2 and d0 - b >= 2 and ref[r0 - a - 2 : r0 - a] == doc[d0 - b - 2 : d0 - b]:
+            r0, d0 = r0 - a - 2, d0 - b - 2
             break
     while r0 > 0 and d0 > 0 and ref[r0 - 1] == doc[d0 - 1]:
         r0, d0 = r0 - 1, d0 - 1
@@ -156,18 +156,18 @@ def _grow(p: tuple[int, int, int, int], doc: list[str], ref: list[str]) -> tuple
             break
     while r1 < len(ref) and d1 < len(doc) and ref[r1] == doc[d1]:
         r1, d1 = r1 + 1, d1 + 1
-    return r0, r1
+    return r0, r1, d0, d1
 
 
 def coverage(doc: list[str], ref: list[str], seeds: list[tuple[int, int]], run: int, parts: int, least: int = 8) -> float:
-    """The share of the test text in its longest one (or two) passages."""
+    """The share of the test text in its longest one (or two, in their order) passages."""
     own = sorted({_grow(p, doc, ref) for p in passages(doc, ref, seeds, run)})
-    own = [(a, b) for a, b in own if b - a >= min(least, len(ref))]
-    best = max((b - a for a, b in own), default=0)
+    own = [p for p in own if p[1] - p[0] >= min(least, len(ref))]
+    best = max((p[1] - p[0] for p in own), default=0)
     if parts > 1:
-        for i, (a, b) in enumerate(own):
-            for c, d in own[i + 1 :]:
-                if d > b:
+        for i, (a, b, _, end) in enumerate(own):
+            for c, d, begin, _ in own[i + 1 :]:
+                if d > b and begin >= end - 2:
                     best = max(best, d - a if c < b else b - a + d - c)
     return best / len(ref) if ref else 0.0
 
