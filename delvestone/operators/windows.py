@@ -10,9 +10,19 @@ def _by(by: list[str]) -> Window:
     return Window.partitionBy(*by)
 
 
-def top_per_group(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    """The first ``k`` of each group, with the group's size before."""
-    return df.withColumns({"rank": F.row_number().over(_by(by).orderBy(*order)).cast("bigint"), "total": F.count("*").over(_by(by))}).where(F.col("rank") <= k)
+def top_per_group(df: DataFrame, by: list[str], order: list, k: int, total: bool = False) -> DataFrame:
+    """The first ``k`` of each group; with ``total`` also the group's size before.
+
+    The rank alone lets Spark keep k rows of each group on the map side, so
+    that a hot group is never in one task; the sizes are therefore counted
+    apart, with partial sums, and joined to the few rows that are left.
+    """
+    out = df.withColumn("rank", F.row_number().over(_by(by).orderBy(*order)).cast("bigint")).where(F.col("rank") <= k)
+    if not total:
+        return out
+    size = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.count("*").alias("total"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return out.join(size, same).drop(*[f"__{c}" for c in by])
 
 
 def gap_prune(df: DataFrame, by: list[str], score: str, key: str, floor: float = 0.3, gap: float = 0.5, least: int = 1, most: int = 10) -> DataFrame:

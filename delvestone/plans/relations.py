@@ -276,7 +276,7 @@ def hits(spark, d):
 
 @query("w1_top_matches", f"SELECT doc_id, line_number, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_number) AS rank, count(*) OVER (PARTITION BY doc_id) AS total FROM {HITS}) WHERE rank <= 3")
 def w1(spark, d):
-    return windows.top_per_group(hits(spark, d), ["doc_id"], [F.desc("score"), F.col("line_number")], 3).select("doc_id", "line_number", "rank", "total")
+    return windows.top_per_group(hits(spark, d), ["doc_id"], [F.desc("score"), F.col("line_number")], 3, total=True).select("doc_id", "line_number", "rank", "total")
 
 
 @query("w3_merge_files", f"SELECT doc_id, min(line_number) AS first_line, count(*) AS n, sum(score)::BIGINT AS total FROM {HITS} GROUP BY 1")
