@@ -97,7 +97,12 @@ def _scores(row: np.ndarray, feature: np.ndarray, n: int, weights: np.ndarray) -
     out = np.zeros((n, weights.shape[1]), np.float32)
     if len(row):
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[first]] = np.add.reduceat(weights[feature], first, axis=0)
+        ends = np.append(first[1:], len(row))
+        step = 20_000  # texts at a time, so that the gathered weights stay small
+        for a in range(0, len(first), step):
+            low, high = first[a], ends[min(a + step, len(first)) - 1]
+            own = first[a : a + step]
+            out[row[own]] = np.add.reduceat(weights[feature[low:high]], own - low, axis=0)
     return out
 
 
@@ -206,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, labelled: int =
     text = docs.select("doc_id", "text", "lang").where(F.length("text") > 0)
 
     def sample(df: DataFrame, limit: int) -> DataFrame:
-        rate = max(1, df.count() // limit)
+        rate = max(1, -(-df.count() // limit))
         return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).limit(2 * limit)
 
     chosen = sample(votes.where("doc_id is not null"), labelled)
