@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..sources.lineage import materialise
 
-__all__ = ["bounded", "by_hash", "fanout", "materialise", "require", "table"]
+__all__ = ["bounded", "materialise", "require", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,19 +20,8 @@ def require(df: DataFrame, *names: str) -> None:
             raise ValueError(f"column {name!r} must occur exactly once; the input has {df.columns}")
 
 
-def fanout(df: DataFrame, per_core: int = 2) -> int:
-    """Partitions for a Python stage: a few for each core, at least as many as shuffles use."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
-
-
 def bounded(rows: list, limit: int, what: str) -> list:
     """Check the size of what goes to the driver or into a broadcast."""
     if len(rows) > limit:
         raise ValueError(f"{what}: more than {limit} rows; raise the limit or pass them in blocks")
     return rows
-
-
-def by_hash(*cols: str):
-    """A stable pseudo-random order of rows, for bounded samples."""
-    return F.xxhash64(*[F.col(c) for c in cols])

@@ -40,7 +40,6 @@ from .common import bounded, require
 
 BITS = 17
 DIMS = 1 << BITS
-_UNIT = re.compile(r"[^\n.!?。！？]*(?:[.!?](?![\s*_\")\]]|$)[^\n.!?。！？]*)*(?:[.!?]+|[。！？]|\n|$)")
 _WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
 _SKIP = re.compile(r"\s*(?:#|\||```)")
 _END = re.compile(r"[.!?。！？]")
