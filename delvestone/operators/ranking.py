@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,8 +131,3 @@ def roi_windows(df: DataFrame, key: str, text: str, terms: list[str], rounds: in
 
 def idf_weight(term: str) -> float:
     return max(0.5, min(1.0, len(term) / 5))
-
-
-def entropy(counts: list[int]) -> float:
-    total = sum(counts)
-    return -sum(c / total * math.log(c / total) for c in counts if c) if total else 0.0
