@@ -84,9 +84,9 @@ def cjk_tokens(text: str | Column) -> Column:
     return F.array_distinct(F.concat(base, parts(2), parts(3)))
 
 
-def preprocess(text: str | Column) -> Column:
-    """Lower case, signs to spaces, spaces squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
+def preprocess(text: str | Column, keep: str = "") -> Column:
+    """Lower case, signs other than those to keep to spaces, spaces squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_c(text)), rf"[^\p{{L}}\p{{N}}\s{keep}]", " "), r"\s+", " "))
 
 
 #: Words that mark a question as comparing, or as asking for a number.

@@ -81,6 +81,12 @@ def h13(spark, d):
     return t.select("doc_id", fn.preprocess("h").alias("t"))
 
 
+@query("h13_preprocess_all")
+def h13_all(spark, d):
+    """The whole text of every document, in any script."""
+    return docs(spark, d).where("text is not null").select("doc_id", fn.preprocess("text", "_").alias("t"))
+
+
 @query("h14_bigrams", f"SELECT g AS gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(t)), lambda i: concat(t[i], ' ', t[i+1]))) AS g FROM (SELECT {TOK} AS t FROM documents WHERE text IS NOT NULL)) GROUP BY 1 HAVING count(*) >= 50")
 def h14(spark, d):
     w = docs(spark, d).where("text is not null").select(fn.words("text", "[a-z]+").alias("w"))
