@@ -95,6 +95,13 @@ def w2(spark, d):
     return top.select("doc_id", "line_number", F.row_number().over(Window.orderBy("doc_id", F.desc("score"), "line_number")).cast("bigint").alias("place"))
 
 
+@query("w2_rerank_in_files_all", f"SELECT doc_id, line_number, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_number) AS place FROM {HITS}")
+def w2_all(spark, d):
+    """Every hit, with its place in its own file."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "line_number"))
+    return hits(spark, d).select("doc_id", "line_number", place.cast("bigint").alias("place"))
+
+
 @query("w11_oversized_tail", f"WITH s AS (SELECT file_id, node_id, a, b - a AS span FROM {TN} WHERE level = 1 AND a IS NOT NULL AND b > a), q AS (SELECT *, quantile_disc(span, 0.25) OVER (PARTITION BY file_id) AS q FROM s), f AS (SELECT *, CASE WHEN span > 3 * q THEN 0 ELSE 1 END AS small FROM q), r AS (SELECT *, sum(small) OVER (PARTITION BY file_id ORDER BY a DESC, node_id DESC ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT file_id, count(*) AS n FROM r WHERE k = 0 GROUP BY 1")
 def w11(spark, d):
     """Trailing sections each more than three times the lower quartile: a running flag from the end."""
@@ -117,6 +124,15 @@ def w15(spark, d):
     return p.withColumn("level", F.row_number().over(Window.orderBy("n", "prefix")).cast("bigint"))
 
 
+@query("w15_prefix_levels_all", f"WITH p AS (SELECT split_part(trim(title), ' ', 1) AS prefix, count(*) AS n FROM {TN} WHERE trim(title) <> '' GROUP BY 1 HAVING count(*) >= 2) SELECT prefix, n, row_number() OVER (ORDER BY n, prefix) AS level FROM p")
+def w15_all(spark, d):
+    """Every repeated prefix: its place among those as frequent, after the number of rarer ones (one row for each frequency)."""
+    p = nodes(spark, d).where("trim(title) != ''").groupBy(F.split(F.trim("title"), " ")[0].alias("prefix")).agg(F.count("*").alias("n")).where("n >= 2")
+    rarer = p.groupBy("n").agg(F.count("*").alias("c")).select("n", (F.sum("c").over(Window.orderBy("n")) - F.col("c")).alias("rarer"))
+    place = F.row_number().over(Window.partitionBy("n").orderBy("prefix"))
+    return p.withColumn("place", place).join(rarer, "n").select("prefix", "n", (F.col("rarer") + F.col("place")).cast("bigint").alias("level"))
+
+
 @query("w21_range_repair", f"SELECT file_id, node_id, CASE WHEN p2 < p1 THEN p1 ELSE p2 END AS p_end FROM {TN} WHERE p1 IS NOT NULL")
 def w21(spark, d):
     return nodes(spark, d).where("p1 is not null").select("file_id", "node_id", F.when(F.col("p2") < F.col("p1"), F.col("p1")).otherwise(F.col("p2")).alias("p_end"))

@@ -385,6 +385,13 @@ def f4(spark, d):
     return clusters(spark, d).select("id", F.when(u == "STABLE", 0).when(u == "EMERGING", 1).otherwise(2).cast("bigint").alias("tier")).orderBy("tier", "id").limit(50)
 
 
+@query("f4_tier_sort_all", f"SELECT id, CASE upper(lifecycle) WHEN 'STABLE' THEN 0 WHEN 'EMERGING' THEN 1 ELSE 2 END::BIGINT AS tier FROM {KC} ORDER BY tier, id")
+def f4_all(spark, d):
+    """All records in the order of the tiers."""
+    u = F.upper("lifecycle")
+    return clusters(spark, d).select("id", F.when(u == "STABLE", 0).when(u == "EMERGING", 1).otherwise(2).cast("bigint").alias("tier")).orderBy("tier", "id")
+
+
 @query("g1_ordered_union", "SELECT doc_id, min(p)::BIGINT AS priority FROM (SELECT doc_id, 1 AS p FROM documents WHERE contains(lower(text), 'tribunal') UNION ALL SELECT doc_id, 2 FROM documents WHERE source = 'wiki-notes' UNION ALL SELECT doc_id, 3 FROM documents WHERE doc_kind = 'log') GROUP BY 1")
 def g1(spark, d):
     """The first of several sources that has a row, in one pass over the table."""

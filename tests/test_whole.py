@@ -16,3 +16,27 @@ def test_preprocess_whole_texts(spark, tmp_path):
     got = run(spark, tmp_path, "h13_preprocess_all", documents=(list(enumerate(texts)), "doc_id bigint, text string"))
     want = {i: " ".join(re.sub(r"[^\w\s一-龥]", " ", t.lower()).split()) for i, t in enumerate(texts) if t is not None}
     assert dict(got) == want and len(got) == len(want)
+
+
+def test_places_of_all_hits(spark, tmp_path):
+    docs = [(i, "\n".join(["report", "none", "a report and a report"])) for i in range(150)] + [(999, None)]
+    got = run(spark, tmp_path, "w2_rerank_in_files_all", documents=(docs, "doc_id bigint, text string"))
+    assert sorted(got) == sorted(x for i in range(150) for x in [(i, 3, 1), (i, 1, 2)])
+
+
+def test_levels_of_all_prefixes(spark, tmp_path):
+    titles = [f"p{i:03} x{j}" for i in range(70) for j in range(2 + i % 3)] + ["once only", " ", None]
+    nodes = [("f", str(k), None, k, 1, t, "", [0, 1], [1, 1], 0, "x") for k, t in enumerate(titles)]
+    schema = "file_id string, node_id string, parent_id string, ord int, level int, title string, summary string, char_range array<bigint>, page_range array<int>, table_count int, content_type string"
+    got = run(spark, tmp_path, "w15_prefix_levels_all", tree_nodes=(nodes, schema))
+    want = sorted((2 + i % 3, f"p{i:03}") for i in range(70))
+    assert sorted(got) == sorted((p, n, k + 1) for k, (n, p) in enumerate(want))
+
+
+def test_tiers_of_all_records(spark, tmp_path):
+    made = [(f"{i:03}", ("STABLE", "emerging", "X", None)[i % 4]) for i in range(120)]
+    rows = [(i, "n", "d", "c", 0.5, "L", 0.5, s, None, None, 1, 1) for i, s in made]
+    schema = "id string, name string, description string, content string, confidence double, abstraction_level string, hotness double, lifecycle string, create_time timestamp, last_modified timestamp, version int, merge_count int"
+    got = run(spark, tmp_path, "f4_tier_sort_all", knowledge_clusters=(rows, schema))
+    tier = {"STABLE": 0, "EMERGING": 1}
+    assert got == sorted(((i, tier.get((s or "").upper(), 2)) for i, s in made), key=lambda r: (r[1], r[0]))
