@@ -11,9 +11,8 @@ n-gram; long records keep the n-grams whose hash ends in some zero bits, which
 are the same ones in any record of a similar size.  Its product with its own
 transpose is accumulated column by column, in blocks; a cell is discarded as
 soon as an upper bound of the overlap - from the sizes and from the number of
-tokens in each of 64 hash classes - is under the threshold, and later if its
-accumulated count is under a bound derived from the size.  What is left is
-compared exactly, token by token.
+tokens in each of 64 hash classes - is under the threshold.  What is left,
+whatever its count, is compared exactly, token by token.
 
 A column with very many records (found in a sample of the records; the
 threshold is a parameter) is cut into blocks, and each pair of blocks is a
@@ -22,8 +21,10 @@ is lost.
 
 Accuracy: pairs that come out are exact.  A pair is lost only if none of its
 kept n-grams survives: at a similarity of 0.8 with edits on both sides some
-0.155 of at least 32 n-grams are expected to survive, of more similar pairs
-most.  See the README for the measured recall.
+0.155 of the n-grams are expected to survive, of more similar pairs most.
+Records under 64 words keep all n-grams; from there on each is kept with a
+probability of 1/2, 1/4, ... by its hash, so that their number varies.  See the
+README for the loss by length and the measured recall.
 
 Results of the edge cases: null texts count as empty; records under
 ``min_words`` words take no part; ids that occur in several identical rows
@@ -256,7 +257,7 @@ def near_duplicates(records: DataFrame, share: float = 0.8, n: int = 5, keep: in
     classes = records.select("bag", "n", "toks").dropDuplicates(["bag"])  # copies collapse before anything else, map side first
     hot = hot_columns(classes, n, keep, block)
     cells = product(incidence(classes, n, keep, hot, block), share)
-    near = cells.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("kept") * 0.05))).select("a", "b")
+    near = cells.select("a", "b")
     left = classes.select(F.col("bag").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = classes.select(F.col("bag").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))

@@ -65,3 +65,18 @@ def test_hot_columns_are_cut_into_blocks_without_loss(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert found(neardup.bags(df, "id", F.col("text"), 40)) == set()
+
+
+def test_one_shared_gram_is_enough(spark):
+    rng = random.Random(3)
+
+    def grams(words):
+        t = neardup.tokens([" ".join(words)], neardup._Words())[1]
+        return {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+
+    while True:
+        a, b, c = ([f"{x}{rng.randrange(10**9)}" for _ in range(k)] for x, k in (("a", 40), ("b", 10), ("c", 10)))
+        if len(grams(a + b) & grams(a + c)) == 1:
+            break
+    df = spark.createDataFrame([("x", " ".join(a + b)), ("y", " ".join(a + c))], "id string, text string")
+    assert found(neardup.bags(df, "id", F.col("text"), 40)) == {("x", "y")}
