@@ -271,6 +271,14 @@ def j11(spark, d):
     return table(spark, d, "page_contents").where("(page_number - 1) % 10 = 0").select("file_id", F.col("page_number").cast("bigint").alias("page_number"), F.substring("content", 1, 150).alias("snippet")).distinct()
 
 
+@query("j11_interval_pages_all", "SELECT DISTINCT file_id, CAST(page_number AS BIGINT) AS page_number, left(content, 150) AS snippet FROM page_contents p WHERE (page_number - 1) % 10 = 0 OR page_number = (SELECT max(page_number) FROM page_contents q WHERE q.file_id = p.file_id)")
+def j11_all(spark, d):
+    """Every tenth page and the last one of each file."""
+    p = table(spark, d, "page_contents").select("file_id", F.col("page_number").cast("bigint").alias("page_number"), F.substring("content", 1, 150).alias("snippet"))
+    last = p.groupBy("file_id").agg(F.max("page_number").alias("page_number"))
+    return p.where("(page_number - 1) % 10 = 0").union(p.join(last, ["file_id", "page_number"])).distinct()
+
+
 @query("u12_chunks", "SELECT doc_id, i, md5(substring(text, i * 2000 + 1, 2000)) AS h FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 2000 + 1)) AS i FROM documents WHERE length(text) > 0)")
 def u12(spark, d):
     i = F.explode(F.sequence(F.lit(0), F.expr("cast((length(text) - 1) div 2000 as int)"))).alias("i")

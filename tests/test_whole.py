@@ -40,3 +40,22 @@ def test_tiers_of_all_records(spark, tmp_path):
     got = run(spark, tmp_path, "f4_tier_sort_all", knowledge_clusters=(rows, schema))
     tier = {"STABLE": 0, "EMERGING": 1}
     assert got == sorted(((i, tier.get((s or "").upper(), 2)) for i, s in made), key=lambda r: (r[1], r[0]))
+
+
+def test_anchors_of_three_lengths(spark, tmp_path):
+    e = "".join(f"{i:04}" for i in range(60))
+    docs = [(1, f"é head\nxx {e[:80]} tail"), (2, f"{e[:50]}."), (3, f"a\n\nb {e[:30]}!"), (4, e[:29]), (5, f"{e[:30]} first\nthen {e[:60]}"), (6, None)]
+    got = run(spark, tmp_path, "c15_anchor_lookup_all", documents=(docs, "doc_id bigint, text string"), eval_items=([(7, e), (8, None)], "item_id bigint, evidence_text string"))
+
+    def brute(t):
+        p = next((t.find(e[:n]) for n in (80, 50, 30) if e[:n] in t), -1)
+        return t.rfind("\n", 0, p) + 2 if p >= 0 else None
+
+    assert sorted(got) == sorted((7, i, brute(t)) for i, t in docs if t and brute(t))
+    assert len(got) == 4
+
+
+def test_last_pages(spark, tmp_path):
+    pages = [(f, n, f"{f}{n}") for f, m in (("a", 12), ("b", 11), ("c", 1), ("d", 9)) for n in range(1, m + 1)]
+    got = run(spark, tmp_path, "j11_interval_pages_all", page_contents=(pages, "file_id string, page_number int, content string"))
+    assert sorted((f, n) for f, n, _ in got) == [("a", 1), ("a", 11), ("a", 12), ("b", 1), ("b", 11), ("c", 1), ("d", 1), ("d", 9)]
