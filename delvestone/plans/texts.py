@@ -75,6 +75,13 @@ def h11(spark, d):
     return h.select("id", F.array_join(F.array_sort(fn.cjk_tokens("query")), " ").alias("tokens"))
 
 
+@query("h11_tokens_all")
+def h11_all(spark, d):
+    """Every query, with the pairs and triples of signs of those in Han."""
+    h = table(spark, d, "search_history").select("id", "query").distinct().where("query is not null")
+    return h.select("id", F.array_join(F.array_sort(fn.cjk_tokens("query")), " ").alias("tokens"))
+
+
 @query("h13_preprocess", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 200)), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents WHERE regexp_full_match(left(text, 200), '(?s)[ -~\\n]*')")
 def h13(spark, d):
     t = docs(spark, d).withColumn("h", F.substring("text", 1, 200)).where(F.col("h").rlike(r"^(?s)[ -~\n]*\z"))

@@ -59,3 +59,14 @@ def test_last_pages(spark, tmp_path):
     pages = [(f, n, f"{f}{n}") for f, m in (("a", 12), ("b", 11), ("c", 1), ("d", 9)) for n in range(1, m + 1)]
     got = run(spark, tmp_path, "j11_interval_pages_all", page_contents=(pages, "file_id string, page_number int, content string"))
     assert sorted((f, n) for f, n, _ in got) == [("a", 1), ("a", 11), ("a", 12), ("b", 1), ("b", 11), ("c", 1), ("d", 1), ("d", 9)]
+
+
+def test_tokens_of_queries_in_han(spark, tmp_path):
+    queries = ["税务报表 2020 tax", "a税x, B!", "税", "Été_déjà", "", None]
+    got = run(spark, tmp_path, "h11_tokens_all", search_history=(list(enumerate(queries)), "id bigint, query string"))
+
+    def brute(q):
+        words = re.findall(r"[^\W_]+", q.lower())
+        return " ".join(sorted({*words, *(w[i : i + n] for w in words if re.search("[一-鿿]", w) for n in (2, 3) for i in range(len(w) - n + 1))}))
+
+    assert dict(got) == {i: brute(q) for i, q in enumerate(queries) if q is not None}
