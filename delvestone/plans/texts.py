@@ -19,6 +19,12 @@ def h1(spark, d):
     return docs(spark, d).where(F.octet_length("text") <= 16384).select("doc_id", fn.fingerprint("text").alias("fingerprint"))
 
 
+@query("h1_fingerprint_all", "SELECT doc_id, concat(md5(CASE WHEN strlen(text) <= 16384 THEN encode(text) ELSE encode(text)[1:8192] || encode(text)[-8192:] END), '_', strlen(text)) AS fingerprint FROM documents WHERE text IS NOT NULL")
+def h1_all(spark, d):
+    """Texts of any length; of long ones the head and the tail count."""
+    return docs(spark, d).where("text is not null").select("doc_id", fn.fingerprint("text").alias("fingerprint"))
+
+
 @query("h2_cache_keys", f"SELECT file_id, concat(sha256, '_', size_bytes) AS cache_key FROM {PATHS}")
 def h2(spark, d):
     return paths(spark, d).select("file_id", F.concat_ws("_", "sha256", F.col("size_bytes").cast("string")).alias("cache_key"))

@@ -1,5 +1,6 @@
 """Queries over whole tables give a row for what their SQL-checked namesakes leave out."""
 
+import hashlib
 import re
 
 from delvestone import plans
@@ -70,3 +71,13 @@ def test_tokens_of_queries_in_han(spark, tmp_path):
         return " ".join(sorted({*words, *(w[i : i + n] for w in words if re.search("[一-鿿]", w) for n in (2, 3) for i in range(len(w) - n + 1))}))
 
     assert dict(got) == {i: brute(q) for i, q in enumerate(queries) if q is not None}
+
+
+def test_fingerprints_of_texts_of_any_length(spark, tmp_path):
+    texts = ["", "ab", "x" * 16384, "x" * 16385, "é" * 8192 + "y" * 9000 + "税" * 5000, None]
+    got = run(spark, tmp_path, "h1_fingerprint_all", documents=(list(enumerate(texts)), "doc_id bigint, text string"))
+
+    def brute(b):
+        return f"{hashlib.md5(b if len(b) <= 16384 else b[:8192] + b[-8192:]).hexdigest()}_{len(b)}"
+
+    assert dict(got) == {i: brute(t.encode()) for i, t in enumerate(texts) if t is not None}
