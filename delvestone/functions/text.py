@@ -34,6 +34,11 @@ def tag(text: str | Column, name: str) -> Column:
     return F.trim(F.regexp_extract(_c(text), f"(?s)<{name}>(.*?)</{name}>", 1))
 
 
+def tag_body(text: str | Column, name: str) -> Column:
+    """Like tag(), without white space of any kind at the ends."""
+    return F.regexp_replace(tag(text, name), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def salvage_json(text: str | Column) -> Column:
     """The JSON text of an answer: itself if valid, else from the first to the last brace, else null."""
     text = _c(text)

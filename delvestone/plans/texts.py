@@ -46,6 +46,16 @@ def h5(spark, d):
     return t.select("doc_id", fn.tag(F.concat(F.lit("<a>"), F.substring("text", 1, 20), F.lit("</a>")), "a").alias("inside"))
 
 
+#: The tags that are looked for in a text.
+TAGS = ("title", "NAME", "DESCRIPTION", "CONTENT")
+
+
+@query("h5_tags_all", "SELECT doc_id, " + ", ".join(f"regexp_replace(regexp_extract(text, '(?s)<{t}>(.*?)</{t}>', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS {t.lower()}" for t in TAGS) + " FROM documents WHERE text IS NOT NULL")
+def h5_all(spark, d):
+    """The whole text of every document, a column for each tag; empty where the tag is missing."""
+    return docs(spark, d).where("text is not null").select("doc_id", *[fn.tag_body("text", t).alias(t.lower()) for t in TAGS])
+
+
 @query("h6_json_salvage", "SELECT CASE WHEN json_valid(m) THEN 'valid' WHEN m LIKE '%{%}%' AND json_valid(regexp_extract(m, '(?s)(\\{.*\\})', 1)) THEN 'inside' ELSE 'none' END AS state, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN concat('Answer: ', props, ' end') ELSE props END AS m FROM events) GROUP BY 1")
 def h6(spark, d):
     m = table(spark, d, "events").select(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Answer: "), "props", F.lit(" end"))).otherwise(F.col("props")).alias("m"))

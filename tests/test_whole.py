@@ -81,3 +81,14 @@ def test_fingerprints_of_texts_of_any_length(spark, tmp_path):
         return f"{hashlib.md5(b if len(b) <= 16384 else b[:8192] + b[-8192:]).hexdigest()}_{len(b)}"
 
     assert dict(got) == {i: brute(t.encode()) for i, t in enumerate(texts) if t is not None}
+
+
+def test_tags_in_whole_texts(spark, tmp_path):
+    texts = ["x" * 300 + "<NAME> a\n b \n</NAME><NAME>second</NAME>", "<title></title><CONTENT>\t<b>é</b> </CONTENT>", "<DESCRIPTION>open", "1 < 2", "", None]
+    got = run(spark, tmp_path, "h5_tags_all", documents=(list(enumerate(texts)), "doc_id bigint, text string"))
+
+    def brute(t, name):
+        m = re.search(f"<{name}>(.*?)</{name}>", t, re.DOTALL)
+        return m[1].strip() if m else ""
+
+    assert sorted(got) == [(i, *(brute(t, n) for n in ("title", "NAME", "DESCRIPTION", "CONTENT"))) for i, t in enumerate(texts) if t is not None]
