@@ -52,10 +52,11 @@ def log_tf(tf: str | Column) -> Column:
 
 
 def human_size(n: str | Column) -> Column:
+    """Bytes, KB or MB with one decimal; ties go to the even digit."""
     n = _c(n).cast("double")
     return (
         F.when(n < 1024, F.format_string("%d B", n.cast("bigint")))
-        .when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1048576))
+        .when(n < 1048576, F.format_string("%.1f KB", F.bround(n / 1024, 1))).otherwise(F.format_string("%.1f MB", F.bround(n / 1048576, 1)))
     )
 
 

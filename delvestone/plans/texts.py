@@ -80,6 +80,12 @@ def h9(spark, d):
     return paths(spark, d).where("size_bytes % 256 != 0").select("file_id", fn.human_size("size_bytes").alias("size"))
 
 
+@query("h9_human_size_all", f"SELECT file_id, CASE WHEN size_bytes < 1024 THEN concat(size_bytes, ' B') WHEN size_bytes < 1048576 THEN format('{{:.1f}} KB', round_even(size_bytes / 1024.0::DOUBLE, 1)) ELSE format('{{:.1f}} MB', round_even(size_bytes / 1048576.0::DOUBLE, 1)) END AS size FROM {PATHS}")
+def h9_all(spark, d):
+    """Every file, round sizes too; ties go to the even digit."""
+    return paths(spark, d).select("file_id", fn.human_size("size_bytes").alias("size"))
+
+
 @query("h10_head_mid_tail", "SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE concat_ws(chr(10) || '...' || chr(10), substring(text, 1, 400), substring(text, (length(text) // 2) - 100 + 1, 200), right(text, 400)) END AS sample FROM documents WHERE text IS NOT NULL")
 def h10(spark, d):
     return docs(spark, d).where("text is not null").select("doc_id", fn.head_mid_tail("text", 1000).alias("sample"))

@@ -92,3 +92,11 @@ def test_tags_in_whole_texts(spark, tmp_path):
         return m[1].strip() if m else ""
 
     assert sorted(got) == [(i, *(brute(t, n) for n in ("title", "NAME", "DESCRIPTION", "CONTENT"))) for i, t in enumerate(texts) if t is not None]
+
+
+def test_sizes_of_all_files(spark, tmp_path):
+    sizes = [0, 256, 1023, 1024, 1280, 1792, 2304, 1500, 1048575, 1048576, 1310720, 1835008, 5 << 30]
+    files = [(f"f{n}", "x.md", None, n, "0") for n in sizes]
+    got = run(spark, tmp_path, "h9_human_size_all", upload_manifest=(files, "file_id string, name string, collection string, size_bytes bigint, sha256 string"))
+    want = {f"f{n}": f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.1f} MB" for n in sizes}
+    assert dict(got) == want
