@@ -85,13 +85,15 @@ def p4_cohesion(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page_contents")
-    return scans.line_kinds(pages, scans.learn(pages))
+    words, outer = scans.survey(pages)
+    return scans.line_kinds(pages, scans.learn(words), outer)
 
 
 def p5_text(spark: SparkSession, d: str) -> DataFrame:
     """The repaired paragraphs of each page."""
     pages = table(spark, d, "page_contents")
-    return scans.repaired(pages, scans.learn(pages))
+    words, outer = scans.survey(pages)
+    return scans.repaired(pages, scans.learn(words), outer)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
