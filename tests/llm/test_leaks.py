@@ -20,11 +20,33 @@ def test_search_finds_every_occurrence():
     import numpy as np
 
     data = np.frombuffer(text, np.uint8)
-    places, numbers = leaks.Needles(strings).find(text, data, leaks.blocks(data))
+    needles = leaks.Needles(strings)
+    places, numbers = needles.find(text, data, leaks.blocks(data))
     want = {(i, k) for k, s in enumerate(strings) for i in range(len(text)) if text.startswith(s, i)}
     assert set(zip(places, numbers)) == want
 
 
+def test_shifts_pass_positions_over():
+    import numpy as np
+
+    own, other = [" ".join(words(5)).encode() for _ in range(200)], " ".join(words(5000)).encode()
+    needles = leaks.Needles([b" " + s + b" " for s in own if len(s) > 24])
+    data = np.frombuffer(other, np.uint8)
+    for least in (0, 1, 7, 8, 30, 511, 512, 513):  # short texts too
+        assert len(needles.ends(leaks.blocks(data[:least]))) <= least
+    needles.asked = 0
+    ends = needles.ends(leaks.blocks(data))
+    every = [i for i in range(needles.least - leaks.BLOCK, len(data) - leaks.BLOCK + 1) if needles.shift[leaks._code(leaks.blocks(data)[i : i + 1])][0] == 0]
+    assert set(ends.tolist()) <= set(every)
+    assert needles.asked < len(data) / 4
+
+
+def test_edges_are_carried_over_edits():
+    ref = [f"w{i}" for i in range(40)]
+    doc = ["x", *ref[3:10], "changed", *ref[11:20], *ref[21:30], "added", *ref[30:33], "y"]
+    assert leaks._grow((11, 20, 9, 18), doc, ref)[:2] == (3, 33)
+
+
 @pytest.fixture(scope="module")
 def items():
     return [{"item_id": i, "question": " ".join(words(24)), "evidence_text": " ".join(words(60))} for i in range(20)]
