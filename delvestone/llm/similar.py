@@ -14,8 +14,9 @@ the stored codes; the ``shortlist`` best are compared exactly by cosine.
 
 Skew: vectors that are equal bit by bit are collapsed to the ``k + 1`` smallest
 ids before anything moves, since no other copy can be among anyone's k most
-similar; a cell that a sample shows to be too large is cut into parts, its
-stored vectors divided among them and its askers sent to each.
+similar; a cell of more than ``2 * part`` vectors, by a count of one vector in
+sixteen, is cut: its stored vectors and its askers are divided into parts, and
+each pair of a part of the one and a part of the other is a group of its own.
 
 The codebooks are fitted on a bounded sample (``train`` vectors, or 8 for each
 cell of the first codebook, at most 2 * 32,768); every vector
@@ -29,6 +30,7 @@ counts once; equal cosines are ordered by id; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -155,7 +157,7 @@ def _copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 def most_similar(
     df: DataFrame, id_col: str, vector_col: str, model_col: str, dim: int, k: int = 5, min_cos: float = -1.0,
     per_cell: int = 300, probes: int = 3, shortlist: int = 64,
-    books: int = 6, size: int = 64, width: int = 8, train: int = 12_000,
+    books: int = 6, size: int = 64, width: int = 8, train: int = 12_000, part: int = 4096,
 ) -> DataFrame:
     """(id, other, cos): for each id the k most similar others of its model, of at least ``min_cos``."""
     spark = df.sparkSession
@@ -185,16 +187,9 @@ def most_similar(
     sample = _unit(np.asarray(flat, np.float32).reshape(-1, dim))
     fitted = Codebooks.fit(sample, coarse + [size] * books)
 
-    # cells that the sample shows to hold far more than their share are cut into parts
-    top = np.concatenate([fitted.cells(fitted.beam(sample[i : i + 2048] @ fitted.words.T, width, level)[0][:, 0]) for i in range(0, len(sample), 2048)])
-    models = np.asarray(rows.column("model").to_pylist(), dtype=object)
-    count: dict[tuple, int] = {}
-    for key in zip(models, top.tolist()):
-        count[key] = count.get(key, 0) + 1
-    scale = n / len(sample)
-    parts = {key: -(-int(c * scale) // (4 * per_cell)) for key, c in count.items() if c > 8 and c * scale > 8 * per_cell}
-    shared = spark.sparkContext.broadcast((fitted, parts))
     depth = level + books
+    parts = hot_cells(stored, spark.sparkContext.broadcast(fitted), dim, width, level, depth, part)
+    shared = spark.sparkContext.broadcast((fitted, parts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, cut = shared.value
@@ -207,20 +202,18 @@ def most_similar(
                 near = f.cells(f.beam(inner, max(width, probes), level)[0][:, :probes], level)
                 code = f.beam(inner, width, depth)[0][:, 0]
                 homes, norm, packed = f.cells(code, level), f.norms(code), _pack(raw)
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(8)]
                 for i, (x, name) in enumerate(zip(ids, names)):
                     home = int(homes[i])
                     asked = [home, *(c for c in near[i].tolist() if c != home)][: max(probes, 1)]
                     for cell in asked:
                         m = cut.get((name, cell), 1)
-                        mine = hash_id(x) % m if cell == home else -1
-                        for part in range(m):
-                            is_home = part == mine
-                            for column, value in zip(out, (name, cell, part, x, packed[i], code[i].astype(np.int32).tobytes() if is_home else None, float(norm[i]))):
+                        for group, asks, is_home in places(hash_id(x) % m, m, cell == home):
+                            for column, value in zip(out, (name, cell, group, x, packed[i], code[i].astype(np.int32).tobytes() if is_home else None, float(norm[i]), asks)):
                                 column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.float32()))],
-                    names=["model", "cell", "part", "id", "raw", "code", "norm"],
+                    [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float32(), pa.bool_()))],
+                    names=["model", "cell", "part", "id", "raw", "code", "norm", "asks"],
                 )
 
     def score(group: pa.Table) -> pa.Table:
@@ -233,11 +226,12 @@ def most_similar(
         x = _unit(_unpack([raw[i] for i in one], dim))
         norm = group.column("norm").to_numpy()[one]
         kept = np.array([i for i, c in enumerate(codes) if c is not None], np.int64)
+        asking = np.flatnonzero(np.asarray(group.column("asks").to_pylist(), bool)[one])
         out: list[list] = [[], [], []]
         if len(kept):
             code = np.stack([np.frombuffer(codes[i], np.int32) for i in kept])
-            for at in range(0, len(x), 512):
-                ask = np.arange(at, min(at + 512, len(x)))
+            for at in range(0, len(asking), 512):
+                ask = asking[at : at + 512]
                 tables = x[ask] @ f.words.T
                 dot = tables[:, code[:, 0]]
                 for m in range(1, depth):
@@ -263,7 +257,7 @@ def most_similar(
         return pa.table({"id": pa.array(out[0], pa.string()), "other": pa.array(out[1], pa.string()), "cos": pa.array(out[2], pa.float64())})
 
     found = (
-        stored.mapInArrow(encode, "model string, cell bigint, part int, id string, raw binary, code binary, norm float")
+        stored.mapInArrow(encode, "model string, cell bigint, part bigint, id string, raw binary, code binary, norm float, asks boolean")
         .groupBy("model", "cell", "part").applyInArrow(score, schema)
     )
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cos").desc(), "other"))
@@ -272,6 +266,38 @@ def most_similar(
 
 
 def hash_id(x: str) -> int:
-    import zlib
-
     return zlib.crc32(x.encode("utf-8", "surrogatepass"))
+
+
+def places(mine: int, m: int, home: bool) -> Iterator[tuple[int, bool, bool]]:
+    """(group, whether it asks there, whether it is stored there) of a vector of part ``mine`` in a cell of ``m`` parts.
+
+    There is a group for each pair of a part of the askers and one of the stored.
+    """
+    for other in range(m):
+        yield mine * m + other, True, home and other == mine
+    if home:
+        for other in range(m):
+            if other != mine:
+                yield other * m + mine, False, True
+
+
+def hot_cells(stored: DataFrame, shared, dim: int, width: int, level: int, depth: int, part: int, rate: int = 16, most: int = 1_000_000) -> dict[tuple[str, int], int]:
+    """In how many parts each cell of more than two parts' vectors is cut.
+
+    Cells are counted on one vector in ``rate``, whatever their number, so
+    that a cell to be cut is seen some ``2 * part / rate`` times.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
+                homes = f.cells(f.beam(_unit(raw) @ f.words.T, width, depth)[0][:, 0], level)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(homes)], names=["model", "cell"])
+
+    seen = stored.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(rate)) == 0).select("model", "v").mapInArrow(run, "model string, cell bigint")
+    rows = seen.groupBy("model", "cell").agg((F.count("*") * rate).alias("n")).where(F.col("n") > 2 * part).limit(most + 1).collect()
+    return {(r["model"], r["cell"]): -(-r["n"] // part) for r in bounded(rows, most, "cells to cut")}

@@ -75,3 +75,25 @@ def test_packing_is_lossless():
     packed = similar._pack(x)
     assert {len(p) for p in packed[:10]} == {16} and {len(p) for p in packed[10:]} == {32}
     assert (similar._unpack(packed, 8) == x).all()
+
+
+def test_cut_cells_lose_nothing(spark):
+    """One dense cell, cut into parts of stored vectors and of askers, gives the rows that it gives whole."""
+    rng = np.random.default_rng(9)
+    x = (np.ones(32) + 0.2 * rng.normal(size=(700, 32))).astype(np.float32)
+    rows = [(f"v{i:04d}", "a", [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    run = lambda part: {(r.id, r.other) for r in similar.most_similar(df, "id", "v", "m", 32, k=4, per_cell=10_000, books=4, size=16, shortlist=700, part=part).collect()}
+    whole = run(4096)
+    assert whole == brute(rows, 4, -1.0)
+    assert run(64) == whole
+
+
+def test_every_pair_meets_once():
+    for m in (1, 2, 5):
+        for a in range(m):
+            for b in range(m):
+                ask = {g for g, asks, _ in similar.places(a, m, False) if asks}
+                stored = {g for g, _, home in similar.places(b, m, True) if home}
+                assert len(ask & stored) == 1
+        assert sum(1 for _ in similar.places(0, m, True)) == 2 * m - 1
