@@ -17,7 +17,7 @@ whatever its count, is compared exactly, token by token.
 A column with very many records (found in a sample of the records; the
 threshold is a parameter) is cut into blocks, and each pair of blocks is a
 task's work of its own, so that no task holds a hot column and no pair of it
-is lost.
+is lost.  Up to ``few`` such columns are broadcast; more are joined as a table.
 
 Accuracy: pairs that come out are exact.  A pair is lost only if none of its
 kept n-grams survives: at a similarity of 0.8 with edits on both sides some
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, require
+from .common import materialise, require
 
 WORD = re.compile(r"[^\W_]+")
 CLASSES = 64
@@ -110,11 +110,11 @@ def bags(df: DataFrame, id_col: str, text: Column, min_words: int) -> DataFrame:
 def incidence(classes: DataFrame, n: int, keep: int, hot: dict[int, int], block: int) -> DataFrame:
     """(gram, bag, n, kept, side, sketch): the kept n-grams of each class.
 
-    ``hot`` holds the columns to cut and their sizes: a row of such a column
-    goes to each pair of blocks that its own block is part of.
+    ``hot`` holds the columns to cut and their numbers of blocks: a row of such
+    a column goes to each pair of blocks that its own block is part of.
     """
     hot_grams = np.array(sorted(hot), np.int64)
-    hot_blocks = np.array([-(-hot[g] // block) for g in sorted(hot)], np.int64)
+    hot_blocks = np.array([hot[g] for g in sorted(hot)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,18 +157,27 @@ def incidence(classes: DataFrame, n: int, keep: int, hot: dict[int, int], block:
     return classes.select("bag", "n", "toks").mapInArrow(run, "gram bigint, bag bigint, n int, kept int, side tinyint, sketch binary")
 
 
-def hot_columns(classes: DataFrame, n: int, keep: int, block: int, rate: int = 64, limit: int = 50_000) -> dict[int, int]:
-    """Columns with more than some ``block`` records, with their estimated sizes.
+def hot_columns(classes: DataFrame, n: int, keep: int, block: int, rate: int = 64) -> DataFrame:
+    """(gram, blocks): columns with more than some ``block`` records, and how many blocks they are cut into.
 
     They are looked for in the n-grams of one class in ``rate``; that such a
     column is missed is unlikely and costs only time.
     """
     sample = classes.where(F.pmod("bag", F.lit(rate)) == 0)
-    rows = (
-        incidence(sample, n, keep, {}, block).groupBy("gram").count()
-        .where(F.col("count") * rate > block).limit(limit + 1).collect()
+    seen = incidence(sample, n, keep, {}, block).groupBy("gram").agg((F.count("*") * rate).alias("size"))
+    return seen.where(F.col("size") > block).select("gram", F.ceil(F.col("size") / block).alias("blocks"))
+
+
+def cut_columns(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """The entries, those of hot columns sent to each pair of blocks that their own block is part of; as ``incidence`` does it, by a join."""
+    own, other = F.pmod("bag", "blocks"), F.col("other")
+    low, high = F.least("own", other), F.greatest("own", other)
+    warm = (
+        entries.join(hot, "gram").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        .withColumn("side", F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2).cast("tinyint"))
+        .withColumn("gram", F.xxhash64("gram", low, high))
     )
-    return {r[0]: r[1] * rate for r in bounded(rows, limit, "hot n-grams")}
+    return entries.join(hot, "gram", "left_anti").unionByName(warm.select(*entries.columns))
 
 
 def _pairs(gram, bag, n, kept, side, sketch, share: float) -> tuple[np.ndarray, ...]:
@@ -246,7 +255,7 @@ def product(entries: DataFrame, share: float) -> DataFrame:
     )
 
 
-def near_duplicates(records: DataFrame, share: float = 0.8, n: int = 5, keep: int = 32, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, share: float = 0.8, n: int = 5, keep: int = 32, block: int = 2000, few: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal bags, and the members of the classes.
 
     ``records`` is the result of :func:`bags`.  The first result has (a, b)
@@ -256,7 +265,12 @@ def near_duplicates(records: DataFrame, share: float = 0.8, n: int = 5, keep: in
     require(records, "id", "bag", "n", "toks")
     classes = records.select("bag", "n", "toks").dropDuplicates(["bag"])  # copies collapse before anything else, map side first
     hot = hot_columns(classes, n, keep, block)
-    cells = product(incidence(classes, n, keep, hot, block), share)
+    rows = hot.limit(few + 1).collect()
+    if len(rows) <= few:  # broadcast with the function
+        entries = incidence(classes, n, keep, {r["gram"]: r["blocks"] for r in rows}, block)
+    else:
+        entries = cut_columns(incidence(classes, n, keep, {}, block), materialise(hot))
+    cells = product(entries, share)
     near = cells.select("a", "b")
     left = classes.select(F.col("bag").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = classes.select(F.col("bag").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))

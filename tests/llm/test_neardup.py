@@ -55,10 +55,14 @@ def test_hot_columns_are_cut_into_blocks_without_loss(spark):
     plain = neardup.product(neardup.incidence(records, 5, 32, {}, 1000), 0.8)
     counts = {r[0]: r[1] for r in neardup.incidence(records, 5, 32, {}, 1000).groupBy("gram").count().collect() if r[1] > 10}
     assert counts
-    cut = neardup.product(neardup.incidence(records, 5, 32, counts, 8), 0.8)
+    blocks = {g: -(-n // 8) for g, n in counts.items()}
+    cut = neardup.product(neardup.incidence(records, 5, 32, blocks, 8), 0.8)
+    table = spark.createDataFrame(list(blocks.items()), "gram bigint, blocks bigint")
+    joined = neardup.product(neardup.cut_columns(neardup.incidence(records, 5, 32, {}, 1000), table), 0.8)
     a = {(r.a, r.b): r.shared for r in plain.collect()}
     b = {(r.a, r.b): r.shared for r in cut.collect()}
-    assert a == b and len(a) == 60 * 59 // 2
+    c = {(r.a, r.b): r.shared for r in joined.collect()}
+    assert a == b == c and len(a) == 60 * 59 // 2
     assert rng
 
 
@@ -80,3 +84,16 @@ def test_one_shared_gram_is_enough(spark):
             break
     df = spark.createDataFrame([("x", " ".join(a + b)), ("y", " ".join(a + c))], "id string, text string")
     assert found(neardup.bags(df, "id", F.col("text"), 40)) == {("x", "y")}
+
+
+def test_more_hot_columns_than_are_broadcast(spark):
+    rows = fixture()
+    df = spark.createDataFrame(rows, "id string, text string")
+    records = neardup.bags(df, "id", F.col("text"), 40)
+    assert neardup.hot_columns(records, 5, 32, 3, rate=1).count() > 5
+    old = neardup.hot_columns
+    try:
+        neardup.hot_columns = lambda *a, **k: old(*a, **k, rate=1)
+        assert found(records, block=3, few=5) == found(records, block=3, few=10**6) == found(records)
+    finally:
+        neardup.hot_columns = old
