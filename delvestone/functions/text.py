@@ -46,6 +46,13 @@ def salvage_json(text: str | Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(inner).isNotNull() & (inner != ""), inner)
 
 
+def html_heading(html: str | Column) -> tuple[Column, Column]:
+    """Level and title of the first HTML heading; a null level and an empty title where there is none."""
+    pattern = r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"
+    level = F.regexp_extract(_c(html), pattern, 1)
+    return F.when(level != "", level.cast("bigint")), F.trim(F.regexp_replace(F.regexp_extract(_c(html), pattern, 2), "<[^>]+>", ""))
+
+
 def log_tf(tf: str | Column) -> Column:
     tf = _c(tf)
     return F.when(tf > 0, 1 + F.ln(tf)).otherwise(F.lit(0.0))

@@ -40,7 +40,7 @@ def undirected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def expand(seeds: DataFrame, edges: DataFrame, key: str, k: int = 6) -> DataFrame:
     """The k neighbours of greatest weight of the seed rows, without the seeds."""
-    near = edges.withColumnRenamed("a", key).join(F.broadcast(seeds.select(key)) if seeds.is_cached else seeds.select(key), key, "left_semi")
+    near = edges.withColumnRenamed("a", key).join(seeds.select(key), key, "left_semi")
     best = near.groupBy("b").agg(F.max("weight").alias("weight")).withColumnRenamed("b", "__n")
     out = best.join(seeds.select(F.col(key).alias("__n")), "__n", "left_anti").withColumnRenamed("__n", key)
     return out.orderBy(F.desc("weight"), key).limit(k)
@@ -60,4 +60,16 @@ def hotter(hotness: str = "hotness", step: float = 0.1):
     return F.round(F.least(F.lit(1.0), F.coalesce(hotness, F.lit(0.5)) + F.lit(step)), 6)
 
 
-__all__ = ["delete", "expand", "hotter", "insert_new", "merge_edges", "promoted", "tier", "undirected", "update", "upsert"]
+def primary_files(evidences: str = "evidences"):
+    """The distinct files of a cluster's evidence (JSON), sorted; null where the JSON is broken or missing."""
+    own = F.from_json(F.col(evidences), "array<struct<doc_id:string>>")
+    return F.array_sort(F.array_distinct(F.filter(F.transform(own, lambda x: x["doc_id"]), lambda x: x.isNotNull())))
+
+
+def conflict_groups(df: DataFrame, key: str, files: str) -> DataFrame:
+    """(file, members): the files that several clusters rest on, with how many do."""
+    each = df.select(key, F.explode(files).alias("file")).distinct()
+    return each.groupBy("file").agg(F.count("*").alias("members")).where("members > 1")
+
+
+__all__ = ["conflict_groups", "primary_files", "delete", "expand", "hotter", "insert_new", "merge_edges", "promoted", "tier", "undirected", "update", "upsert"]

@@ -24,7 +24,7 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFra
     return both.withColumn("__r", r).where("__r = 1").drop("__r", "__new")
 
 
-def co_occurrence(pairs: DataFrame, item: str, group: str, step: float = 0.25, most: int = 2000) -> DataFrame:
+def co_occurrence(pairs: DataFrame, item: str, group: str, step: float = 0.25, most: int = 2000, least: int = 1) -> DataFrame:
     """(a, b, shared, weight) of items that share groups; weight = min(1, step * shared).
 
     A group's items are joined on the group.  A group of over ``most`` items
@@ -38,7 +38,7 @@ def co_occurrence(pairs: DataFrame, item: str, group: str, step: float = 0.25, m
     left = cut.select("g", F.col("i").alias("a"), F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
     right = cut.select("g", F.col("i").alias("b"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
     return (
-        left.join(right, ["g", "x", "y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+        left.join(right, ["g", "x", "y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
         .withColumn("weight", F.least(F.lit(1.0), F.col("shared") * F.lit(step)))
     )
 

@@ -29,6 +29,38 @@ def small_talk(column: str | Column) -> Column:
     return c.rlike(r"^(?:hi|hello|hey|thanks|thank you|test|ok|你好|谢谢)[\s!.?。！]*$")
 
 
+def is_small_talk(query: str) -> bool:
+    """The same of one query, on the driver."""
+    import re
+
+    return re.match(r"(?:(?:hi|hello|hey|thanks|thank you|test|ok|你好|谢谢)[\s!.?。！]*)\Z", query.strip().lower()) is not None
+
+
+def keyword_tool(rows: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, first_line, n): the lines that hold any of the terms, taken literally, by document."""
+    from .grep import matches
+
+    held = F.lit(False)
+    for t in terms:
+        held = held | matches("line", t)
+    return rows.where(held).groupBy(key).agg(F.min("line_number").alias("first_line"), F.count("*").alias("n"))
+
+
+def benchmark(items: DataFrame, key: str, gold: str, predicted: str, by: str) -> DataFrame:
+    """(by, n, correct, refused, undecided, accuracy): the judge's verdicts on a batch of answers; an undecided one is not correct."""
+    own = items.select(by, verdict(predicted, gold).alias("v"))
+    return own.groupBy(by).agg(
+        F.count("*").alias("n"), F.count_if(F.col("v").isin("exact", "numeric")).alias("correct"), F.count_if(F.col("v") == "refused").alias("refused"),
+        F.count_if(F.col("v") == "undecided").alias("undecided"), F.round(F.avg(F.col("v").isin("exact", "numeric").cast("double")), 6).alias("accuracy"),
+    )
+
+
+def report(metrics: DataFrame, by: str) -> DataFrame:
+    """(line): a benchmark's metrics as lines of text, the best first."""
+    part = F.format_string("%s: %d of %d (%.1f %%), %d refused", F.coalesce(by, F.lit("-")), "correct", "n", F.col("accuracy") * 100, "refused")
+    return metrics.orderBy(F.desc("accuracy"), by).select(part.alias("line"))
+
+
 def verdict(predicted: str | Column, gold: str | Column) -> Column:
     """A judge's deterministic part: refusal, equal after normalising, equal as numbers, else undecided."""
     p, g = fn.plain_answer(predicted), fn.plain_answer(gold)

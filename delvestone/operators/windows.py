@@ -56,15 +56,18 @@ def next_value(df: DataFrame, by: list[str], order: str, column: str, name: str,
     return df.withColumn(name, F.coalesce(F.lead(column).over(_by(by).orderBy(order)), default if default is not None else F.lit(None)))
 
 
-def parents(df: DataFrame, by: list[str], index: str, level: str, deepest: int = 6) -> DataFrame:
+def parents(df: DataFrame, by: list[str], index: str, level: str) -> DataFrame:
     """The nearest row before of a lower level: a running last index for each level, and the greatest of those below.
 
-    No self-join: one pass over each group's order.
+    No self-join: one pass over each group's order.  As many levels are
+    followed as the data have (their distinct values, one small row).
     """
     w = _by(by).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col(level) == n, F.col(index))).over(w) for n in range(deepest + 1)]
-    out = df.withColumns({f"__l{n}": x for n, x in enumerate(last)})
-    return out.withColumn("parent", F.greatest(F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), *[F.when(F.col(level) > n, F.col(f"__l{n}")) for n in range(deepest + 1)])).drop(*[f"__l{n}" for n in range(deepest + 1)])
+    levels = sorted(df.where(F.col(level).isNotNull()).agg(F.collect_set(level)).first()[0])
+    last = {f"__l{i}": F.max(F.when(F.col(level) == n, F.col(index))).over(w) for i, n in enumerate(levels)}
+    near = [F.when(F.col(level) > n, F.col(f"__l{i}")) for i, n in enumerate(levels)]
+    none = F.lit(None).cast("bigint")
+    return df.withColumns(last).withColumn("parent", F.greatest(none, none, *near)).drop(*last)
 
 
 def runs(df: DataFrame, by: list[str], order: str, holds, least: int) -> DataFrame:

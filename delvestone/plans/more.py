@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import grep, policies, ranking, windows
+from ..operators import grep, policies, ranking, structure, windows
 from ..sources import tables
-from ..sources.lineage import shared_folder
+from ..sources.lineage import materialise, remove, shared_folder
 from ..sources.tables import table
 from .registry import query
 from .relations import HITS, KC, SH, TN, clusters, history, hits, nodes
@@ -18,12 +18,26 @@ from .search import LINES, PATHS, doc_lines, docs, paths
 from .texts import BM
 
 
+def in_folder(spark, make):
+    """The rows of ``make(folder)`` for a folder of its own, which is deleted before they are read."""
+    folder = f"{shared_folder(spark)}/own-{uuid.uuid4().hex}"
+    try:
+        return materialise(make(folder))
+    finally:
+        remove(spark, folder)
+
+
 @query("a3_export_round_trip", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
 def a3(spark, d):
-    """Through a versioned table in the session's shared folder."""
-    store = tables.VersionedTable(spark, f"{shared_folder(spark)}/export-{uuid.uuid4().hex}")
-    store.write(table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"), "r_name"))
-    return store.read()
+    """Through a versioned table in the session's shared folder, written twice."""
+
+    def make(folder):
+        store = tables.VersionedTable(spark, folder)
+        store.write(table(spark, d, "region").limit(0).select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"), "r_name"))
+        store.write(table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"), "r_name"))
+        return store.read()
+
+    return in_folder(spark, make)
 
 
 @query("a10_script", "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 10")
@@ -88,15 +102,8 @@ def d24(spark, d):
     return e.groupBy("mime_type").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.length("content"), F.lit(0)) == 0).alias("empty_n"), F.sum(F.col("page_count").cast("bigint")).alias("pages"))
 
 
-@query("w2_rerank_in_files", f"SELECT doc_id, line_number, row_number() OVER (ORDER BY doc_id, score DESC, line_number) AS place FROM {HITS} ORDER BY place LIMIT 200")
+@query("w2_rerank_in_files", f"SELECT doc_id, line_number, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_number) AS place FROM {HITS}")
 def w2(spark, d):
-    """The first rows of the order by file and score: a top-k, then numbers for it."""
-    top = hits(spark, d).orderBy("doc_id", F.desc("score"), "line_number").limit(200)
-    return top.select("doc_id", "line_number", F.row_number().over(Window.orderBy("doc_id", F.desc("score"), "line_number")).cast("bigint").alias("place"))
-
-
-@query("w2_rerank_in_files_all", f"SELECT doc_id, line_number, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_number) AS place FROM {HITS}")
-def w2_all(spark, d):
     """Every hit, with its place in its own file."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "line_number"))
     return hits(spark, d).select("doc_id", "line_number", place.cast("bigint").alias("place"))
@@ -118,14 +125,8 @@ def w14(spark, d):
     return nodes(spark, d).select("file_id", "node_id", F.when(t.rlike(r"^\s*\d+\.\d+"), 2).when(t.rlike(r"^\s*\d+\.?\s"), 1).cast("bigint").alias("numbered"))
 
 
-@query("w15_prefix_levels", f"WITH p AS (SELECT split_part(trim(title), ' ', 1) AS prefix, count(*) AS n FROM {TN} WHERE trim(title) <> '' GROUP BY 1 HAVING count(*) >= 2) SELECT prefix, n, row_number() OVER (ORDER BY n, prefix) AS level FROM p ORDER BY n, prefix LIMIT 50")
+@query("w15_prefix_levels", f"WITH p AS (SELECT split_part(trim(title), ' ', 1) AS prefix, count(*) AS n FROM {TN} WHERE trim(title) <> '' GROUP BY 1 HAVING count(*) >= 2) SELECT prefix, n, row_number() OVER (ORDER BY n, prefix) AS level FROM p")
 def w15(spark, d):
-    p = nodes(spark, d).where("trim(title) != ''").groupBy(F.split(F.trim("title"), " ")[0].alias("prefix")).agg(F.count("*").alias("n")).where("n >= 2").orderBy("n", "prefix").limit(50)
-    return p.withColumn("level", F.row_number().over(Window.orderBy("n", "prefix")).cast("bigint"))
-
-
-@query("w15_prefix_levels_all", f"WITH p AS (SELECT split_part(trim(title), ' ', 1) AS prefix, count(*) AS n FROM {TN} WHERE trim(title) <> '' GROUP BY 1 HAVING count(*) >= 2) SELECT prefix, n, row_number() OVER (ORDER BY n, prefix) AS level FROM p")
-def w15_all(spark, d):
     """Every repeated prefix: its place among those as frequent, after the number of rarer ones (one row for each frequency)."""
     p = nodes(spark, d).where("trim(title) != ''").groupBy(F.split(F.trim("title"), " ")[0].alias("prefix")).agg(F.count("*").alias("n")).where("n >= 2")
     rarer = p.groupBy("n").agg(F.count("*").alias("c")).select("n", (F.sum("c").over(Window.orderBy("n")) - F.col("c")).alias("rarer"))
@@ -156,8 +157,8 @@ def f8(spark, d):
 
 @query("g2_merge_hints", f"SELECT id, min(p)::BIGINT AS p FROM (SELECT id, 1 AS p FROM {KC} WHERE contains(lower(name), 'court') UNION ALL SELECT id, 2 FROM {KC} WHERE hotness > 0.8) GROUP BY 1 ORDER BY 2, 1 LIMIT 15")
 def g2(spark, d):
-    p = F.when(F.lower("name").contains("court"), 1).when(F.col("hotness") > 0.8, 2).cast("bigint")
-    return clusters(spark, d).select("id", p.alias("p")).where("p is not null").groupBy("id").agg(F.min("p").alias("p")).orderBy("p", "id").limit(15)
+    k = clusters(spark, d)
+    return ranking.merge_hints([(k.where(ranking.holds_any(["name"], ["court"])), "id"), (k.where("hotness > 0.8"), "id")], "id", 15)
 
 
 @query("g8_recent_queries", f"SELECT kb_name, array_to_string(list(query ORDER BY created_at, id), ' | ') AS recent FROM (SELECT *, row_number() OVER (PARTITION BY kb_name ORDER BY created_at DESC, id DESC) AS r FROM {SH} WHERE query IS NOT NULL AND created_at IS NOT NULL) WHERE r <= 5 GROUP BY 1")
@@ -248,22 +249,22 @@ def k2(spark, d):
     return nodes(spark, d).where(F.col("title").rlike(r"^\s*\d+(?:\.\d+)*")).select("file_id", "node_id", F.size(F.split(F.regexp_extract("title", r"^\s*(\d+(?:\.\d+)*)", 1), r"\.")).cast("bigint").alias("depth"))
 
 
-@query("k10_node_ids", "SELECT DISTINCT file_id, node_id, concat('N', lpad(char_range[1]::VARCHAR, 6, '0')) AS by_offset FROM tree_nodes WHERE char_range[1] >= 0 AND char_range[1] < 1000000")
+@query("k10_node_ids", "SELECT DISTINCT file_id, node_id, CASE WHEN char_range[1] >= 0 THEN concat('N', repeat('0', greatest(0, 6 - length(char_range[1]::VARCHAR))), char_range[1]::VARCHAR) END AS by_offset FROM tree_nodes")
 def k10(spark, d):
-    n = nodes(spark, d).where("a >= 0 and a < 1000000")
-    return n.select("file_id", "node_id", F.concat(F.lit("N"), F.lpad(F.col("a").cast("string"), 6, "0")).alias("by_offset")).distinct()
+    """An id from a node's offset, of six digits at least; none where there is no offset."""
+    return nodes(spark, d).select("file_id", "node_id", structure.offset_id("a").alias("by_offset")).distinct()
 
 
-@query("k13_navigation", f"SELECT file_id, node_id, r FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, node_id) AS r FROM (SELECT file_id, node_id, 2 * contains(lower(title), 'court')::BIGINT + contains(lower(summary), 'appeal')::BIGINT AS score FROM {TN} WHERE title IS NOT NULL AND summary IS NOT NULL) WHERE score > 0) WHERE r <= 3")
+@query("k13_navigation", f"SELECT file_id, node_id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, node_id) AS r FROM (SELECT file_id, node_id, 2 * contains(lower(coalesce(title, '')), 'court')::BIGINT + contains(lower(coalesce(summary, '')), 'court')::BIGINT + 2 * contains(lower(coalesce(title, '')), 'appeal')::BIGINT + contains(lower(coalesce(summary, '')), 'appeal')::BIGINT AS score FROM {TN}) WHERE score > 0) WHERE r <= 3")
 def k13(spark, d):
-    score = 2 * F.lower("title").contains("court").cast("bigint") + F.lower("summary").contains("appeal").cast("bigint")
-    n = nodes(spark, d).where("title is not null and summary is not null").withColumn("score", score).where("score > 0")
-    return windows.top_per_group(n, ["file_id"], [F.desc("score"), F.col("node_id")], 3).select("file_id", "node_id", F.col("rank").alias("r"))
+    return structure.navigate(nodes(spark, d), "file_id", "node_id", ["court", "appeal"])
 
 
-@query("k19_leaf_evidence", f"SELECT n.file_id, n.node_id, md5(substring(e.content, n.a + 1, least(n.b - n.a, 500))) AS h FROM (SELECT DISTINCT file_id, node_id, a, b FROM {TN} WHERE a >= 0 AND b > a AND level = 2) n JOIN (SELECT file_id, max(content) AS content FROM extraction_outputs WHERE content IS NOT NULL GROUP BY 1) e USING (file_id) WHERE n.a < length(e.content)")
+@query("k19_leaf_evidence", f"SELECT n.file_id, n.node_id, md5(substring(e.content, n.a + 1, least(n.b - n.a, 500))) AS h FROM (SELECT DISTINCT file_id, node_id, greatest(a, 0) AS a, b FROM {TN} t WHERE b > greatest(a, 0) AND NOT EXISTS (SELECT 1 FROM tree_nodes c WHERE c.file_id = t.file_id AND c.parent_id = t.node_id)) n JOIN (SELECT file_id, max(content) AS content FROM extraction_outputs WHERE content IS NOT NULL GROUP BY 1) e USING (file_id) WHERE n.a < length(e.content)")
 def k19(spark, d):
-    n = nodes(spark, d).where("a >= 0 and b > a and level = 2").select("file_id", "node_id", "a", "b").distinct()
+    """The text of every leaf, whatever its level."""
+    n = structure.leaves(nodes(spark, d), "file_id", "node_id", "parent_id").withColumn("a", F.greatest("a", F.lit(0)))
+    n = n.where("b > a").select("file_id", "node_id", "a", "b").distinct()
     e = table(spark, d, "extraction_outputs").where("content is not null").groupBy("file_id").agg(F.max("content").alias("content"))
     part = F.call_function("substring", F.col("content"), (F.col("a") + 1).cast("int"), F.least(F.col("b") - F.col("a"), F.lit(500)).cast("int"))
     return n.join(e, "file_id").where(F.col("a") < F.length("content")).select("file_id", "node_id", F.md5(part).alias("h"))
@@ -282,15 +283,18 @@ def l5(spark, d):
     return p.join(covered, ["file_id", "page_number"], "left_anti")
 
 
-@query("m4_json_columns", "SELECT DISTINCT id, coalesce(json_array_length(CASE WHEN json_valid(queries) THEN queries END), 0)::BIGINT AS n_queries FROM knowledge_clusters WHERE queries IS NULL OR queries = '' OR starts_with(queries, '[')")
+@query("m4_json_columns", "SELECT DISTINCT id, coalesce(json_array_length(CASE WHEN json_valid(queries) THEN queries END), 0)::BIGINT AS n_queries, coalesce(json_array_length(CASE WHEN json_valid(evidences) THEN evidences END), 0)::BIGINT AS n_evidences FROM knowledge_clusters")
 def m4(spark, d):
-    k = table(spark, d, "knowledge_clusters").where("queries is null or queries = '' or startswith(queries, '[')")
-    return k.select("id", F.coalesce(F.json_array_length("queries"), F.lit(0)).cast("bigint").alias("n_queries")).distinct()
+    """Sizes of the JSON lists of every record; broken JSON, or JSON that is no list, has none."""
+    n = lambda c: F.coalesce(F.json_array_length(c), F.lit(0)).cast("bigint")
+    return table(spark, d, "knowledge_clusters").select("id", n("queries").alias("n_queries"), n("evidences").alias("n_evidences")).distinct()
 
 
-@query("m9_fallback_clusters", "SELECT concat('FS', substring(sha256(text), 1, 8)) AS id, left(text, 60) AS name, 0.5::DOUBLE AS confidence, 'EMERGING' AS lifecycle FROM documents WHERE length(text) > 0 AND file_id IS NULL")
+@query("m9_fallback_clusters", "SELECT concat('FS', substring(sha256(text), 1, 8)) AS id, left(text, 60) AS name, 0.5::DOUBLE AS confidence, CASE WHEN file_id IS NULL THEN 'EMERGING' ELSE 'STABLE' END AS lifecycle FROM documents WHERE length(text) > 0")
 def m9(spark, d):
-    return docs(spark, d).where((F.length("text") > 0) & F.col("file_id").isNull()).select(fn.short_id("FS", "text", 8).alias("id"), F.substring("text", 1, 60).alias("name"), F.lit(0.5).alias("confidence"), F.lit("EMERGING").alias("lifecycle"))
+    """A cluster of every text; one without a file behind it is emerging."""
+    state = F.when(F.col("file_id").isNull(), "EMERGING").otherwise("STABLE")
+    return docs(spark, d).where(F.length("text") > 0).select(fn.short_id("FS", "text", 8).alias("id"), F.substring("text", 1, 60).alias("name"), F.lit(0.5).alias("confidence"), state.alias("lifecycle"))
 
 
 @query("m14_compile_pipeline", "WITH c AS (SELECT m.file_id, CASE WHEN e.file_id IS NULL THEN 'missing' WHEN t.file_id IS NULL THEN 'flat' ELSE 'tree' END AS state FROM (SELECT DISTINCT file_id FROM upload_manifest) m LEFT JOIN (SELECT DISTINCT file_id FROM extraction_outputs WHERE length(content) > 0) e USING (file_id) LEFT JOIN (SELECT DISTINCT file_id FROM tree_nodes) t USING (file_id)) SELECT state, count(*) AS n FROM c GROUP BY 1")
@@ -304,9 +308,10 @@ def m14(spark, d):
 
 @query("s5_session_budget", "SELECT event_id FROM (SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE used <= 500 AND n <= 10")
 def s5(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumns({"used": F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(w)})
-    return e.where("used <= 500 and n <= 10").select("event_id")
+    """The first ten of each user are found with a limit on the map side; sums run over those only."""
+    first = windows.top_per_group(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 10)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return first.withColumn("used", F.sum("value").over(w)).where("used <= 500").select("event_id")
 
 
 @query("s8_audit_rows", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, concat(event_type, '/', json_extract_string(props, '$.k')) AS action FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -315,12 +320,12 @@ def s8(spark, d):
     return e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.concat("event_type", F.lit("/"), "k").alias("action"))
 
 
-@query("u2_keyword_tool", f"SELECT doc_id, min(line_number) AS first_line, count(*) AS n FROM {LINES} WHERE contains(lower(line), 'appeal') OR contains(lower(line), 'turbine') GROUP BY 1")
+@query("u2_keyword_tool", f"SELECT doc_id, min(line_number) AS first_line, count(*) AS n FROM {LINES} WHERE contains(lower(line), 'appeal') OR contains(lower(line), 'turbine') OR contains(lower(line), '(a|b)') GROUP BY 1")
 def u2(spark, d):
+    """Terms are literal: the last one isn't taken for a pattern."""
     tools = policies.Tools()
-    tools.register("keywords", lambda terms: grep.grep(doc_lines(spark, d), "|".join(terms), literal=False))
-    found = tools.call("keywords", terms=["appeal", "turbine"])
-    return found.groupBy("doc_id").agg(F.min("line_number").alias("first_line"), F.count("*").alias("n"))
+    tools.register("keywords", lambda terms: policies.keyword_tool(doc_lines(spark, d), terms))
+    return tools.call("keywords", terms=["appeal", "turbine", "(a|b)"])
 
 
 @query("u3_file_read", "SELECT doc_id, md5(left(text, 30000)) AS h FROM documents WHERE text IS NOT NULL")
@@ -334,10 +339,17 @@ def u9(spark, d):
     return history(spark, d).where("query is not null").select("id", policies.hashed_embedding("query").alias("v"))
 
 
-@query("u15_judge", "SELECT item_id, CASE WHEN trim(answer) = '' THEN 'refused' ELSE 'exact' END AS verdict FROM eval_items WHERE NOT regexp_matches(lower(answer), 'cannot answer|not available|no information|unable to|n/a')")
+#: A predicted answer for each item, of every kind that a judge meets: the gold one, marked up, cut, off by one in a hundred, refused.
+PREDICTED = "CASE item_id % 5 WHEN 0 THEN answer WHEN 1 THEN concat('**', answer, '**') WHEN 2 THEN left(answer, length(answer) // 2) WHEN 3 THEN concat('Answer: ', answer) ELSE 'I am unable to answer that from the evidence.' END"
+NORM = "lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[*_`\"'']', '', 'g'), '(?i)^\\s*(?:answer|final answer)\\s*:\\s*', ''), '[$€£,]', '', 'g'), '(\\d+\\.\\d*?)0+\\b', '\\1', 'g')))"
+NUM = "(CASE WHEN regexp_matches(lower(trim({0})), '^\\(.*\\)$') OR starts_with(lower(trim({0})), '-') THEN -1.0 ELSE 1.0 END * try_cast(nullif(regexp_extract(regexp_replace(lower(trim({0})), '[,$€£]', '', 'g'), '(\\d+(?:\\.\\d+)?)', 1), '') AS DOUBLE) * CASE WHEN regexp_matches(lower(trim({0})), '(?:\\d|\\s)(?:b|bn|billion)\\b') THEN 1e9 WHEN regexp_matches(lower(trim({0})), '(?:\\d|\\s)(?:m|mn|million)\\b') THEN 1e6 WHEN regexp_matches(lower(trim({0})), '(?:\\d|\\s)(?:k|thousand)\\b') THEN 1e3 WHEN contains(lower(trim({0})), '%') THEN 0.01 ELSE 1.0 END)::DOUBLE"
+
+
+@query("u15_judge", f"WITH e AS (SELECT item_id, answer, {PREDICTED} AS p FROM eval_items), n AS (SELECT item_id, {NORM.format('p')} AS a, {NORM.format('answer')} AS b, {NUM.format('p')} AS x, {NUM.format('answer')} AS y, p FROM e) SELECT item_id, CASE WHEN p IS NULL OR length(trim(p)) < 1 OR contains(lower(left(p, 500)), 'cannot answer') OR contains(lower(left(p, 500)), 'not available') OR contains(lower(left(p, 500)), 'no information') OR contains(lower(left(p, 500)), 'unable to') OR contains(lower(left(p, 500)), 'n/a') THEN 'refused' WHEN a = b THEN 'exact' WHEN CASE WHEN abs(x) < 10 AND abs(y) < 10 THEN abs(x - y) <= 0.3 ELSE abs(x - y) <= 0.02 * greatest(abs(x), abs(y)) END THEN 'numeric' WHEN x IS NOT NULL AND y IS NOT NULL THEN 'wrong' ELSE 'undecided' END AS verdict FROM n")
 def u15(spark, d):
-    e = table(spark, d, "eval_items").where(~F.lower("answer").rlike("cannot answer|not available|no information|unable to|n/a"))
-    return e.select("item_id", policies.verdict("answer", "answer").alias("verdict"))
+    """Every item's gold answer against a prediction, right, marked up, cut short or refused."""
+    e = table(spark, d, "eval_items").select("item_id", "answer", F.expr(PREDICTED.replace("length(answer) // 2", "cast(length(answer) div 2 as int)")).alias("predicted"))
+    return e.select("item_id", policies.verdict("predicted", "answer").alias("verdict"))
 
 
 @query("u17_default_summary", "SELECT doc_id, left(trim(regexp_replace(left(text, 600), '[ \\t\\n]+', ' ', 'g')), 200) AS summary FROM documents WHERE text IS NOT NULL")
@@ -347,6 +359,5 @@ def u17(spark, d):
 
 @query("u19_relevance_tiers", f"SELECT file_id, CASE WHEN contains(lower(name), 'court') THEN 'high' WHEN contains(lower(name), 'co') THEN 'medium' ELSE 'low' END AS relevance FROM {PATHS}")
 def u19(spark, d):
-    low = F.lower("name")
-    return paths(spark, d).select("file_id", F.when(low.contains("court"), "high").when(low.contains("co"), "medium").otherwise("low").alias("relevance"))
+    return paths(spark, d).select("file_id", ranking.relevance_tier("name", ["court"]).alias("relevance"))
 

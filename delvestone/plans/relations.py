@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grep, joins, windows
+from ..operators import anchors, grep, joins, windows
 from ..sources.tables import table
 from .registry import query
 from .search import LINES, doc_lines, docs, paths, PATHS
@@ -110,23 +110,11 @@ def c14(spark, d):
     return paths(spark, d).select("file_id", F.array_min(held)["hint"].alias("hint")).where("hint is not null")
 
 
-@query("c15_anchor_lookup", "SELECT e.item_id, d.doc_id, strpos(d.text, left(e.evidence_text, 50)) AS at FROM eval_items e JOIN documents d ON contains(d.text, left(e.evidence_text, 50))")
+@query("c15_anchor_lookup", "SELECT item_id, doc_id, p - length(regexp_extract(left(text, p - 1), '[^\n]*$')) AS at FROM (SELECT e.item_id, d.doc_id, d.text, coalesce(nullif(strpos(d.text, left(e.evidence_text, 80)), 0), nullif(strpos(d.text, left(e.evidence_text, 50)), 0), strpos(d.text, left(e.evidence_text, 30))) AS p FROM eval_items e JOIN documents d ON contains(d.text, left(e.evidence_text, 30)))")
 def c15(spark, d):
-    e = F.broadcast(table(spark, d, "eval_items").select("item_id", F.substring("evidence_text", 1, 50).alias("anchor")))  # fixed size
-    t = docs(spark, d).select("doc_id", "text").where("text is not null")
-    return t.join(e, F.contains(F.col("text"), F.col("anchor"))).select("item_id", "doc_id", F.call_function("instr", F.col("text"), F.col("anchor")).cast("bigint").alias("at"))
-
-
-@query("c15_anchor_lookup_all", "SELECT item_id, doc_id, p - length(regexp_extract(left(text, p - 1), '[^\n]*$')) AS at FROM (SELECT e.item_id, d.doc_id, d.text, coalesce(nullif(strpos(d.text, left(e.evidence_text, 80)), 0), nullif(strpos(d.text, left(e.evidence_text, 50)), 0), strpos(d.text, left(e.evidence_text, 30))) AS p FROM eval_items e JOIN documents d ON contains(d.text, left(e.evidence_text, 30)))")
-def c15_all(spark, d):
-    """The start of the line where the first 80, else 50, else 30 characters stand; a longer anchor never stands where the shortest doesn't."""
-    e = F.broadcast(table(spark, d, "eval_items").select("item_id", F.substring("evidence_text", 1, 80).alias("anchor")))  # fixed size
-    t = docs(spark, d).select("doc_id", "text").where("text is not null")
-    found = lambda n: F.nullif(F.call_function("instr", F.col("text"), F.substring("anchor", 1, n)), F.lit(0))
-    at = F.coalesce(found(80), found(50), found(30))
-    both = t.join(e, F.contains(F.col("text"), F.substring("anchor", 1, 30))).select("item_id", "doc_id", "text", at.alias("p"))
-    before = F.call_function("left", F.col("text"), F.col("p") - 1)
-    return both.select("item_id", "doc_id", (F.col("p") - F.length(F.substring_index(before, "\n", -1))).cast("bigint").alias("at"))
+    """The start of the line where the first 80, else 50, else 30 characters stand."""
+    e = table(spark, d, "eval_items").select("item_id", "evidence_text").distinct()
+    return anchors.locate(docs(spark, d), e, "doc_id", "text", "item_id", "evidence_text").distinct()
 
 
 @query("c16_as_of_page", f"SELECT file_id, node_id, a, (SELECT max(p.p1) FROM {TN} p WHERE p.file_id = n.file_id AND p.p1 IS NOT NULL AND p.a IS NOT NULL AND p.a <= n.a AND p.a = (SELECT max(q.a) FROM {TN} q WHERE q.file_id = n.file_id AND q.p1 IS NOT NULL AND q.a <= n.a)) AS page FROM {TN} n WHERE a IS NOT NULL")
@@ -391,14 +379,8 @@ def f2(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20).select("o_orderkey")
 
 
-@query("f4_tier_sort", f"SELECT id, CASE upper(lifecycle) WHEN 'STABLE' THEN 0 WHEN 'EMERGING' THEN 1 ELSE 2 END::BIGINT AS tier FROM {KC} ORDER BY tier, id LIMIT 50")
+@query("f4_tier_sort", f"SELECT id, CASE upper(lifecycle) WHEN 'STABLE' THEN 0 WHEN 'EMERGING' THEN 1 ELSE 2 END::BIGINT AS tier FROM {KC} ORDER BY tier, id")
 def f4(spark, d):
-    u = F.upper("lifecycle")
-    return clusters(spark, d).select("id", F.when(u == "STABLE", 0).when(u == "EMERGING", 1).otherwise(2).cast("bigint").alias("tier")).orderBy("tier", "id").limit(50)
-
-
-@query("f4_tier_sort_all", f"SELECT id, CASE upper(lifecycle) WHEN 'STABLE' THEN 0 WHEN 'EMERGING' THEN 1 ELSE 2 END::BIGINT AS tier FROM {KC} ORDER BY tier, id")
-def f4_all(spark, d):
     """All records in the order of the tiers."""
     u = F.upper("lifecycle")
     return clusters(spark, d).select("id", F.when(u == "STABLE", 0).when(u == "EMERGING", 1).otherwise(2).cast("bigint").alias("tier")).orderBy("tier", "id")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import grep, joins, policies, ranking, windows
+from ..operators import grep, joins, policies, ranking, structure, windows
 from ..sources.tables import table
 from .registry import query
 from .relations import KC, SH, TN, clusters, history, nodes
@@ -49,18 +49,26 @@ def h12(spark, d):
     return k.select("id", F.array_join(F.array_sort(F.array_distinct(w)), " ").alias("keywords"))
 
 
-@query("h23_summary_parse", "SELECT item_id, trim(regexp_extract(concat('<PRECISE>', answer, '</PRECISE><SUMMARY> ', question, '</SUMMARY>'), '(?s)<SUMMARY>(.*?)</SUMMARY>', 1)) AS summary FROM eval_items")
+#: Answers of a summarising step, of each form that a parser meets: both tags, one of them, none, and unclosed.
+ANSWER = "CASE item_id % 4 WHEN 0 THEN concat('<PRECISE>', answer, '</PRECISE>', chr(10), '<SUMMARY> ', question, ' </SUMMARY>') WHEN 1 THEN concat('<SUMMARY>', question, '</SUMMARY>') WHEN 2 THEN concat('Plain. ', question) ELSE concat('<SUMMARY>', question) END"
+
+
+@query("h23_summary_parse", f"SELECT item_id, trim(regexp_extract({ANSWER}, '(?s)<SUMMARY>(.*?)</SUMMARY>', 1)) AS summary, trim(regexp_extract({ANSWER}, '(?s)<PRECISE>(.*?)</PRECISE>', 1)) AS precise FROM eval_items")
 def h23(spark, d):
-    s = F.concat(F.lit("<PRECISE>"), "answer", F.lit("</PRECISE><SUMMARY> "), "question", F.lit("</SUMMARY>"))
-    return table(spark, d, "eval_items").select("item_id", fn.tag(s, "SUMMARY").alias("summary"))
+    s = table(spark, d, "eval_items").select("item_id", F.expr(ANSWER).alias("s"))
+    return s.select("item_id", fn.tag("s", "SUMMARY").alias("summary"), fn.tag("s", "PRECISE").alias("precise"))
+
+
+#: Every Markdown heading of the documents as HTML, with an element inside and a class.
+HTML = "SELECT doc_id, line_number, concat('<p>x</p><h', n, ' class=\"c\">', substring(line, 1, 3), '<b>', substring(line, 4), '</b></h', n, '>') AS html FROM (SELECT *, length(regexp_extract(line, '^(#{{1,6}}) ', 1)) AS n FROM {0}) WHERE n > 0"
 
 
-@query("h24_html_headings", "SELECT * FROM (VALUES ('<h1>One</h1>', 1::BIGINT, 'One'), ('x<H2 class=a>Two <b>b</b></H2>', 2::BIGINT, 'Two b'), ('<p>none</p>', NULL::BIGINT, '')) t(html, level, title)")
+@query("h24_html_headings", f"SELECT doc_id, line_number, regexp_extract(html, '(?is)<h([1-6])[^>]*>', 1)::BIGINT AS level, trim(regexp_replace(regexp_extract(html, '(?is)<h[1-6][^>]*>(.*)</h[1-6]>', 1), '<[^>]+>', '', 'g')) AS title FROM ({HTML.format(LINES)})")
 def h24(spark, d):
-    h = spark.createDataFrame([("<h1>One</h1>",), ("x<H2 class=a>Two <b>b</b></H2>",), ("<p>none</p>",)], "html string")
-    pattern = r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"
-    level = F.regexp_extract("html", pattern, 1)
-    return h.select("html", F.when(level != "", level.cast("bigint")).alias("level"), F.trim(F.regexp_replace(F.regexp_extract("html", pattern, 2), "<[^>]+>", "")).alias("title"))
+    n = F.length(F.regexp_extract("line", "^(#{1,6}) ", 1)).cast("string")
+    h = doc_lines(spark, d).withColumn("n", n).where("n != '0'").select("doc_id", "line_number", F.concat(F.lit("<p>x</p><h"), "n", F.lit(' class="c">'), F.expr("substring(line, 1, 3)"), F.lit("<b>"), F.expr("substring(line, 4)"), F.lit("</b></h"), "n", F.lit(">")).alias("html"))
+    level, title = fn.html_heading("html")
+    return h.select("doc_id", "line_number", level.alias("level"), title.alias("title"))
 
 
 @query("h25_valid_text", "SELECT doc_id, NOT contains(text, chr(65533)) AS clean FROM documents WHERE text IS NOT NULL")
@@ -79,11 +87,9 @@ def i10(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.round(F.avg(F.when(F.col("line").rlike("[0-9]"), 1.0).otherwise(0.0)), 6).alias("numeric_share")).where("n_rows >= 5")
 
 
-@query("i14_catalog_overlap", f"SELECT id, len(list_intersect(list_distinct(regexp_extract_all(lower(concat_ws(' ', name, description)), '[a-z]+')), ['court','contract','breach','appeal']))::BIGINT AS overlap FROM {KC} WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(concat_ws(' ', name, description)), '[a-z]+')), ['court','contract','breach','appeal'])) > 0 ORDER BY 2 DESC, 1 LIMIT 20")
+@query("i14_catalog_overlap", f"SELECT id, len(list_intersect(list_distinct(regexp_extract_all(lower(concat_ws(' ', name, description)), '[\\p{{L}}\\p{{N}}]+')), ['court','contract','breach','appeal']))::BIGINT AS overlap FROM {KC} WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(concat_ws(' ', name, description)), '[\\p{{L}}\\p{{N}}]+')), ['court','contract','breach','appeal'])) > 0 ORDER BY 2 DESC, 1 LIMIT 20")
 def i14(spark, d):
-    q = F.array(*map(F.lit, ("court", "contract", "breach", "appeal")))
-    n = F.size(F.array_intersect(fn.words(F.concat_ws(" ", "name", "description"), "[a-z]+"), q)).cast("bigint")
-    return clusters(spark, d).select("id", n.alias("overlap")).where("overlap > 0").orderBy(F.desc("overlap"), "id").limit(20)
+    return ranking.overlap_rank(clusters(spark, d), "id", ["name", "description"], ["court", "contract", "breach", "appeal"], 20)
 
 
 @query("i16_largest_discrepancy", "SELECT l_returnflag, round(max(abs(l_extendedprice * l_discount - l_extendedprice * l_tax)), 4) AS worst, count(*) FILTER (WHERE abs(l_discount - l_tax) > 0.01) AS n FROM lineitem GROUP BY 1")
@@ -98,12 +104,12 @@ def i21(spark, d):
     return e.select("file_id", F.explode(F.array_distinct(F.array(F.greatest(F.lit(1), F.expr("n div 2")), F.greatest(F.lit(1), F.expr("n * 3 div 4"))))).alias("page"))
 
 
-@query("i23_keyword_order", "SELECT kw, CASE WHEN contains(kw, ' ') THEN greatest(w, 7) ELSE w END::DOUBLE AS weight, row_number() OVER (ORDER BY contains(kw, ' ') DESC, i) AS place FROM (VALUES (0, 'court', 9.0::DOUBLE), (1, 'contract breach', 4.0::DOUBLE), (2, 'appeal', 2.0::DOUBLE), (3, 'arbitration panel', 8.0::DOUBLE)) t(i, kw, w)")
+@query("i23_keyword_order", f"WITH k AS (SELECT id, pos, kw, 10.0 - pos AS w FROM (SELECT id, generate_subscripts(p, 1) AS pos, unnest(p) AS kw FROM (SELECT id, list_filter(list_transform(string_split_regex(lower(query), '(?:^| )(?:(?:of|and|for|the|in|a) )+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM {SH} WHERE query IS NOT NULL))) SELECT id, kw, (CASE WHEN contains(kw, ' ') THEN greatest(w, 7) ELSE w END)::DOUBLE AS weight, row_number() OVER (PARTITION BY id ORDER BY contains(kw, ' ') DESC, pos) AS place FROM k")
 def i23(spark, d):
-    k = spark.createDataFrame([(0, "court", 9.0), (1, "contract breach", 4.0), (2, "appeal", 2.0), (3, "arbitration panel", 8.0)], "i int, kw string, w double")
-    many = F.contains(F.col("kw"), F.lit(" "))
-    place = F.row_number().over(Window.orderBy(many.desc(), "i"))
-    return k.select("kw", F.when(many, F.greatest("w", F.lit(7.0))).otherwise(F.col("w")).alias("weight"), place.cast("bigint").alias("place"))
+    """The phrases of each search, those of several words first and of a weight of 7 at least."""
+    parts = F.filter(F.transform(F.split(F.lower("query"), "(?:^| )(?:(?:of|and|for|the|in|a) )+"), lambda x: F.trim(x)), lambda x: x != "")
+    k = history(spark, d).where("query is not null").select("id", F.posexplode(parts).alias("i", "kw")).withColumn("w", F.lit(9.0) - F.col("i"))
+    return ranking.order_keywords(k, "id", "kw", "w", "i").select("id", "kw", "weight", "place")
 
 
 @query("j10_line_snapshot", f"SELECT doc_id, max(line_number) AS last_line FROM (SELECT doc_id, line_number, coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM {LINES}) WHERE used < 700 GROUP BY 1")
@@ -113,11 +119,12 @@ def j10(spark, d):
     return windows.budget(own, ["doc_id"], [F.col("line_number")], "n", 700).groupBy("doc_id").agg(F.max("line_number").alias("last_line"))
 
 
-@query("k20_outline_repair", f"SELECT file_id, node_id, p1, greatest(p1, coalesce(min(p1) OVER (PARTITION BY file_id ORDER BY p1 RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, p2)) AS p_end FROM {TN} WHERE level = 1 AND p1 IS NOT NULL AND p2 IS NOT NULL")
+@query("k20_outline_repair", f"SELECT file_id, node_id, p1, greatest(p1, coalesce(min(p1) OVER (PARTITION BY file_id, level ORDER BY p1 RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, p2, p1)) AS p_end FROM {TN} WHERE p1 IS NOT NULL")
 def k20(spark, d):
-    w = Window.partitionBy("file_id").orderBy("p1").rangeBetween(1, Window.unboundedFollowing)
-    n = nodes(spark, d).where("level = 1 and p1 is not null and p2 is not null")
-    return n.select("file_id", "node_id", "p1", F.greatest("p1", F.coalesce(F.min("p1").over(w) - 1, "p2")).alias("p_end"))
+    """Of each level the pages up to the next section's."""
+    w = Window.partitionBy("file_id", "level").orderBy("p1").rangeBetween(1, Window.unboundedFollowing)
+    n = nodes(spark, d).where("p1 is not null")
+    return n.select("file_id", "node_id", "p1", F.greatest("p1", F.coalesce(F.min("p1").over(w) - 1, "p2", "p1")).alias("p_end"))
 
 
 @query("l4_dense_lines", "SELECT file_id, page_number, count(*) AS n FROM (SELECT file_id, CAST(page_number AS BIGINT) AS page_number, unnest(string_split(content, chr(10))) AS line FROM (SELECT DISTINCT file_id, page_number, content FROM page_contents)) WHERE len(regexp_extract_all(line, '[0-9]+')) >= 2 GROUP BY 1, 2")
@@ -148,11 +155,10 @@ def m10(spark, d):
     return k.select("id", F.concat_ws("\n", "content", F.concat(F.lit("["), "name", F.lit("] "), F.substring("description", 1, 100))).alias("t"))
 
 
-@query("m11_evidence_paths", f"SELECT n.file_id, n.node_id, concat_ws(' > ', trim(p.title), trim(n.title)) AS path FROM {TN} n JOIN {TN} p ON p.file_id = n.file_id AND p.node_id = n.parent_id WHERE n.level = 2")
+@query("m11_evidence_paths", f"WITH RECURSIVE n AS (SELECT DISTINCT file_id, node_id, parent_id, title FROM {TN}), w AS (SELECT file_id, node_id, coalesce(trim(title), '') AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.file_id, n.node_id, concat(w.path, ' > ', coalesce(trim(n.title), '')) FROM n JOIN w ON n.file_id = w.file_id AND n.parent_id = w.node_id) SELECT * FROM w")
 def m11(spark, d):
-    n = nodes(spark, d).where("level = 2").select("file_id", "node_id", "parent_id", "title")
-    p = nodes(spark, d).select("file_id", F.col("node_id").alias("parent_id"), F.col("title").alias("above"))
-    return n.join(p, ["file_id", "parent_id"]).select("file_id", "node_id", F.concat_ws(" > ", F.trim("above"), F.trim("title")).alias("path"))
+    """The titles from the root down to each node, whatever its level."""
+    return structure.title_paths(nodes(spark, d), "file_id", "node_id", "parent_id", "title")
 
 
 @query("s1_incremental_compile", f"WITH a AS (SELECT file_id, sha256 FROM {PATHS} WHERE size_bytes % 3 <> 0), b AS (SELECT file_id, sha256 FROM {PATHS}) SELECT b.file_id FROM b LEFT JOIN a USING (file_id) WHERE a.sha256 IS DISTINCT FROM b.sha256")
@@ -163,10 +169,9 @@ def s1(spark, d):
     return joins.change_set(before, now, "file_id", "sha256").where(F.col("change").isin("added", "modified")).select("file_id")
 
 
-@query("u4_knowledge_tool", f"SELECT id FROM {KC} WHERE name LIKE '%court%' OR description LIKE '%court%' ORDER BY confidence DESC NULLS LAST, id LIMIT 3")
+@query("u4_knowledge_tool", f"SELECT id FROM {KC} WHERE contains(lower(name), 'court') OR contains(lower(description), 'court') ORDER BY confidence DESC NULLS LAST, id LIMIT 3")
 def u4(spark, d):
-    held = F.coalesce(F.col("name").contains("court"), F.lit(False)) | F.coalesce(F.col("description").contains("court"), F.lit(False))
-    return clusters(spark, d).where(held).orderBy(F.col("confidence").desc_nulls_last(), "id").limit(3).select("id")
+    return clusters(spark, d).where(ranking.holds_any(["name", "description"], ["court"])).orderBy(F.col("confidence").desc_nulls_last(), "id").limit(3).select("id")
 
 
 @query("u14_fallbacks", f"SELECT doc_id, line_number FROM {LINES} WHERE contains(lower(line), 'tribunal')")

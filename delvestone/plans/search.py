@@ -69,10 +69,13 @@ def a14(spark, d):
     return paths(spark, d).where(F.lower("name").contains("court") | (F.lower(F.regexp_replace("name", r"\.[^.]+$", "")) == "local_turbine")).select("path")
 
 
-@query("a15_incremental_scan", f"SELECT file_id, path FROM {PATHS} p WHERE NOT EXISTS (SELECT 1 FROM extraction_outputs e WHERE e.file_id = p.file_id)")
+@query("a15_incremental_scan", f"SELECT p.file_id, p.path, CASE WHEN e.file_id IS NULL THEN 'new' WHEN e.at IS NULL OR e.at < m.at THEN 'stale' ELSE 'fresh' END AS state FROM {PATHS} p LEFT JOIN (SELECT file_id, max(extracted_at) AS at FROM extraction_outputs WHERE length(content) > 0 GROUP BY 1) e USING (file_id) LEFT JOIN (SELECT file_id, max(extracted_at) AS at FROM page_contents GROUP BY 1) m USING (file_id)")
 def a15(spark, d):
-    """Files that haven't been extracted yet: an anti join on the key, contents untouched."""
-    return paths(spark, d).join(tables.table(spark, d, "extraction_outputs").select("file_id").distinct(), "file_id", "left_anti").select("file_id", "path")
+    """Files whose text hasn't been extracted, or not since their pages were: keys and times only, contents untouched."""
+    e = tables.table(spark, d, "extraction_outputs").where(F.length("content") > 0).groupBy("file_id").agg(F.max("extracted_at").alias("had"), F.lit(True).alias("seen"))
+    m = tables.table(spark, d, "page_contents").groupBy("file_id").agg(F.max("extracted_at").alias("at"))
+    state = F.when(F.col("seen").isNull(), "new").when(F.col("had").isNull() | (F.col("had") < F.col("at")), "stale").otherwise("fresh")
+    return paths(spark, d).join(e, "file_id", "left").join(m, "file_id", "left").select("file_id", "path", state.alias("state"))
 
 
 @query("a17_typed_dispatch", f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN extension IN ('txt','md','html') THEN 'text' WHEN extension = 'pdf' THEN 'pdf' WHEN extension IN ('xlsx','csv') THEN 'table' WHEN extension IN ('png','jpg') THEN 'image' ELSE 'other' END AS kind FROM {PATHS}) GROUP BY 1")

@@ -6,14 +6,24 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clusters as cl
-from ..operators import joins, structure
+from ..operators import joins, ranking, structure
 from ..sources.tables import table
 from ..streaming import events as ev
 from .registry import query
 from .relations import KC, TN, clusters, nodes
 from .search import LINES, doc_lines, docs
 
-HEAD = f"(SELECT doc_id, line_number, char_start, CASE WHEN m <> '' THEN 'markdown' WHEN n <> '' AND length(line) <= 120 THEN 'numbered' WHEN s IS NOT NULL THEN 'structural' END AS kind, CASE WHEN m <> '' THEN length(m) WHEN n <> '' THEN len(string_split(n, '.')) ELSE s END::BIGINT AS level, trim(regexp_replace(line, '^(?:#{{1,6}} +|\\d+(?:\\.\\d+)*\\.? +)', '')) AS title FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start, regexp_extract(line, '^(#{{1,6}}) +\\S', 1) AS m, regexp_extract(line, '^(\\d+(?:\\.\\d+)*)\\.? +\\p{{Lu}}', 1) AS n, CASE WHEN regexp_matches(line, '(?i)^(?:part|book) +[ivx\\d]+\\b') THEN 1 WHEN regexp_matches(line, '(?i)^(?:chapter|item|article) +[ivx\\d]+\\b') THEN 2 WHEN regexp_matches(line, '(?i)^(?:section|appendix|schedule) +[ivx\\d]+\\b') THEN 3 END AS s FROM {LINES}) WHERE m <> '' OR (n <> '' AND length(line) <= 120) OR s IS NOT NULL)"
+_MD, _NO = "(?s)^(#{1,6})[ \\t]+(.+)\\z", "(?s)^(\\d+(?:\\.\\d+)*)[. \\t]+(.+)\\z"
+_ST = "(?i)^(PART|CHAPTER|ITEM|SECTION|ARTICLE|APPENDIX|EXHIBIT|SCHEDULE|ANNEX)[ \\t]+([\\p{L}\\p{N}_][\\p{L}\\p{N}_ .:\\-]*)\\z"
+HEAD = (
+    "(SELECT doc_id, line_number, char_start, kind, CASE kind WHEN 'markdown' THEN length(m) WHEN 'numbered' THEN len(string_split(n, '.')) ELSE CASE WHEN upper(w) IN ('PART','CHAPTER') THEN 1 WHEN upper(w) IN ('ITEM','SECTION','ARTICLE') THEN 2 ELSE 3 END END::BIGINT AS level,"
+    " CASE kind WHEN 'markdown' THEN trim(ma) WHEN 'numbered' THEN concat(n, ' ', trim(na)) ELSE concat(upper(w), ' ', trim(wa)) END AS title"
+    " FROM (SELECT *, CASE WHEN m <> '' AND trim(ma) <> '' THEN 'markdown' WHEN n <> '' AND trim(na) <> '' AND length(line) <= 120 THEN 'numbered' WHEN w <> '' THEN 'structural' END AS kind"
+    " FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start"
+    + "".join(f", regexp_extract(line, '{x}', {i}) AS {a}" for x, a, i in ((_MD, "m", 1), (_MD, "ma", 2), (_NO, "n", 1), (_NO, "na", 2), (_ST, "w", 1), (_ST, "wa", 2)))
+    + f" FROM {LINES})) WHERE kind IS NOT NULL)"
+)
+_FIRST = "CASE kind WHEN 'markdown' THEN 0 WHEN 'numbered' THEN 1 ELSE 2 END"
 
 
 @query("k1_headings", f"SELECT doc_id, line_number, char_start, kind, level, title FROM {HEAD}")
@@ -21,11 +31,35 @@ def k1(spark, d):
     return structure.headings(doc_lines(spark, d), "doc_id")
 
 
-@query("k4_heading_cascade", f"SELECT doc_id, line_number, kind FROM (SELECT *, CASE kind WHEN 'markdown' THEN 0 WHEN 'numbered' THEN 1 ELSE 2 END AS k, min(CASE kind WHEN 'markdown' THEN 0 WHEN 'numbered' THEN 1 ELSE 2 END) OVER (PARTITION BY doc_id) AS m FROM {HEAD}) WHERE k = m")
+@query("k4_heading_cascade", f"SELECT doc_id, line_number, kind FROM (SELECT *, {_FIRST} AS k, min({_FIRST}) OVER (PARTITION BY doc_id) AS m FROM {HEAD}) WHERE k = m")
 def k4(spark, d):
     return structure.cascade(structure.headings(doc_lines(spark, d), "doc_id"), "doc_id").select("doc_id", "line_number", "kind")
 
 
+@query("k5_outline", f"SELECT doc_id, line_number, level, title FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM (SELECT *, {_FIRST} AS k, min({_FIRST}) OVER (PARTITION BY doc_id) AS m FROM {HEAD}) WHERE k = m) WHERE c >= 3")
+def k5(spark, d):
+    """The headings of the first kind that gives at least three."""
+    return structure.outline(structure.headings(doc_lines(spark, d), "doc_id"), "doc_id").select("doc_id", "line_number", "level", "title")
+
+
+@query("k3_structural", f"SELECT doc_id, line_number, level, title FROM {HEAD} WHERE kind = 'structural'")
+def k3(spark, d):
+    return structure.headings(doc_lines(spark, d), "doc_id").where("kind = 'structural'").select("doc_id", "line_number", "level", "title")
+
+
+@query("k8_located_titles", f"SELECT h.doc_id, h.title, h.level, strpos(d.text, h.title) - 1 AS char_start FROM (SELECT DISTINCT doc_id, title, level FROM {HEAD} WHERE char_start < 8000) h JOIN documents d USING (doc_id) WHERE strpos(d.text, h.title) > 0")
+def k8(spark, d):
+    """Headings proposed from a text's first 8,000 characters (a model's part; here those of the rules), found again in the text."""
+    proposed = structure.headings(doc_lines(spark, d), "doc_id").where("char_start < 8000").select("doc_id", "title", "level").distinct()
+    return structure.located(docs(spark, d), "doc_id", "text", proposed)
+
+
+@query("k11_recursive_tree")
+def k11(spark, d):
+    """Where a text is cut depends on where it was cut before: no SQL."""
+    return structure.recursive_tree(docs(spark, d), "doc_id", "text")
+
+
 @query("k9_node_depths", f"WITH RECURSIVE w AS (SELECT file_id, node_id, 0 AS depth FROM {TN} WHERE parent_id IS NULL UNION ALL SELECT n.file_id, n.node_id, w.depth + 1 FROM w JOIN {TN} n ON n.file_id = w.file_id AND n.parent_id = w.node_id) SELECT file_id, node_id, depth::BIGINT AS depth FROM w")
 def k9(spark, d):
     return structure.depths(nodes(spark, d).select("file_id", "node_id", "parent_id").distinct(), "file_id", "node_id", "parent_id")
@@ -136,8 +170,7 @@ def m12(spark, d):
 
 @query("m13_compile_hints", f"SELECT id FROM {KC} WHERE contains(lower(name), 'treaty') OR contains(lower(name), 'tribunal') ORDER BY confidence DESC NULLS LAST, id LIMIT 15")
 def m13(spark, d):
-    low = F.lower("name")
-    return clusters(spark, d).where(low.contains("treaty") | low.contains("tribunal")).orderBy(F.col("confidence").desc_nulls_last(), "id").limit(15).select("id")
+    return clusters(spark, d).where(ranking.holds_any(["name"], ["treaty", "tribunal"])).orderBy(F.col("confidence").desc_nulls_last(), "id").limit(15).select("id")
 
 
 @query("s3_rate_counts", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")

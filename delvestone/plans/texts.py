@@ -14,13 +14,8 @@ from .search import LINES, PATHS, doc_lines, docs, paths
 TOK = "regexp_extract_all(lower(text), '[a-z]+')"
 
 
-@query("h1_fingerprint", "SELECT doc_id, concat(md5(CASE WHEN strlen(text) <= 16384 THEN text ELSE NULL END), '_', strlen(text)) AS fingerprint FROM documents WHERE strlen(text) <= 16384")
+@query("h1_fingerprint", "SELECT doc_id, concat(md5(CASE WHEN strlen(text) <= 16384 THEN encode(text) ELSE encode(text)[1:8192] || encode(text)[-8192:] END), '_', strlen(text)) AS fingerprint FROM documents WHERE text IS NOT NULL")
 def h1(spark, d):
-    return docs(spark, d).where(F.octet_length("text") <= 16384).select("doc_id", fn.fingerprint("text").alias("fingerprint"))
-
-
-@query("h1_fingerprint_all", "SELECT doc_id, concat(md5(CASE WHEN strlen(text) <= 16384 THEN encode(text) ELSE encode(text)[1:8192] || encode(text)[-8192:] END), '_', strlen(text)) AS fingerprint FROM documents WHERE text IS NOT NULL")
-def h1_all(spark, d):
     """Texts of any length; of long ones the head and the tail count."""
     return docs(spark, d).where("text is not null").select("doc_id", fn.fingerprint("text").alias("fingerprint"))
 
@@ -40,18 +35,12 @@ def h4(spark, d):
     return clusters(spark, d).select("id", fn.joined_text("name", "description", "content").alias("t"))
 
 
-@query("h5_tags", "SELECT doc_id, trim(regexp_extract(concat('<a>', substring(text, 1, 20), '</a>'), '(?s)<a>(.*?)</a>', 1)) AS inside FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<')")
-def h5(spark, d):
-    t = docs(spark, d).where("text is not null").where(~F.contains(F.col("text"), F.lit("<")))
-    return t.select("doc_id", fn.tag(F.concat(F.lit("<a>"), F.substring("text", 1, 20), F.lit("</a>")), "a").alias("inside"))
-
-
 #: The tags that are looked for in a text.
 TAGS = ("title", "NAME", "DESCRIPTION", "CONTENT")
 
 
-@query("h5_tags_all", "SELECT doc_id, " + ", ".join(f"regexp_replace(regexp_extract(text, '(?s)<{t}>(.*?)</{t}>', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS {t.lower()}" for t in TAGS) + " FROM documents WHERE text IS NOT NULL")
-def h5_all(spark, d):
+@query("h5_tags", "SELECT doc_id, " + ", ".join(f"regexp_replace(regexp_extract(text, '(?s)<{t}>(.*?)</{t}>', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS {t.lower()}" for t in TAGS) + " FROM documents WHERE text IS NOT NULL")
+def h5(spark, d):
     """The whole text of every document, a column for each tag; empty where the tag is missing."""
     return docs(spark, d).where("text is not null").select("doc_id", *[fn.tag_body("text", t).alias(t.lower()) for t in TAGS])
 
@@ -75,13 +64,8 @@ def h8(spark, d):
     return docs(spark, d).where("text is not null").select("doc_id", F.round(fn.log_tf(tf), 6).alias("w"))
 
 
-@query("h9_human_size", f"SELECT file_id, CASE WHEN size_bytes < 1024 THEN concat(size_bytes, ' B') WHEN size_bytes < 1048576 THEN format('{{:.1f}} KB', size_bytes / 1024.0::DOUBLE) ELSE format('{{:.1f}} MB', size_bytes / 1048576.0::DOUBLE) END AS size FROM {PATHS} WHERE size_bytes % 256 <> 0")
+@query("h9_human_size", f"SELECT file_id, CASE WHEN size_bytes < 1024 THEN concat(size_bytes, ' B') WHEN size_bytes < 1048576 THEN format('{{:.1f}} KB', round_even(size_bytes / 1024.0::DOUBLE, 1)) ELSE format('{{:.1f}} MB', round_even(size_bytes / 1048576.0::DOUBLE, 1)) END AS size FROM {PATHS}")
 def h9(spark, d):
-    return paths(spark, d).where("size_bytes % 256 != 0").select("file_id", fn.human_size("size_bytes").alias("size"))
-
-
-@query("h9_human_size_all", f"SELECT file_id, CASE WHEN size_bytes < 1024 THEN concat(size_bytes, ' B') WHEN size_bytes < 1048576 THEN format('{{:.1f}} KB', round_even(size_bytes / 1024.0::DOUBLE, 1)) ELSE format('{{:.1f}} MB', round_even(size_bytes / 1048576.0::DOUBLE, 1)) END AS size FROM {PATHS}")
-def h9_all(spark, d):
     """Every file, round sizes too; ties go to the even digit."""
     return paths(spark, d).select("file_id", fn.human_size("size_bytes").alias("size"))
 
@@ -91,27 +75,15 @@ def h10(spark, d):
     return docs(spark, d).where("text is not null").select("doc_id", fn.head_mid_tail("text", 1000).alias("sample"))
 
 
-@query("h11_tokens", "SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+'))), ' ') AS tokens FROM (SELECT DISTINCT id, query FROM search_history WHERE NOT regexp_matches(query, '\\p{Han}'))")
+@query("h11_tokens", "SELECT id, array_to_string(list_sort(list_distinct(list_concat(w, flatten(list_transform(list_filter(w, lambda x: regexp_matches(x, '\\p{Han}')), lambda x: list_concat(list_transform(range(1, length(x)), lambda i: substring(x, i, 2)), list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3)))))))), ' ') AS tokens FROM (SELECT DISTINCT id, query, regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+') AS w FROM search_history WHERE query IS NOT NULL)")
 def h11(spark, d):
-    h = table(spark, d, "search_history").select("id", "query").distinct().where(~F.col("query").rlike(r"\p{IsHan}"))
-    return h.select("id", F.array_join(F.array_sort(fn.cjk_tokens("query")), " ").alias("tokens"))
-
-
-@query("h11_tokens_all")
-def h11_all(spark, d):
     """Every query, with the pairs and triples of signs of those in Han."""
     h = table(spark, d, "search_history").select("id", "query").distinct().where("query is not null")
     return h.select("id", F.array_join(F.array_sort(fn.cjk_tokens("query")), " ").alias("tokens"))
 
 
-@query("h13_preprocess", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 200)), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents WHERE regexp_full_match(left(text, 200), '(?s)[ -~\\n]*')")
+@query("h13_preprocess", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s_]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL")
 def h13(spark, d):
-    t = docs(spark, d).withColumn("h", F.substring("text", 1, 200)).where(F.col("h").rlike(r"^(?s)[ -~\n]*\z"))
-    return t.select("doc_id", fn.preprocess("h").alias("t"))
-
-
-@query("h13_preprocess_all")
-def h13_all(spark, d):
     """The whole text of every document, in any script."""
     return docs(spark, d).where("text is not null").select("doc_id", fn.preprocess("text", "_").alias("t"))
 
@@ -143,15 +115,20 @@ def h19(spark, d):
     return h.select("id", F.array_join(fn.pages_named("query"), ",").alias("pages"))
 
 
-@query("h21_numbers", "SELECT * FROM (VALUES ('$1,577.00', 1577.0::DOUBLE), ('15.3%', 0.153::DOUBLE), ('($500)', -500.0::DOUBLE), ('$1.5B', 1.5e9::DOUBLE), ('2 million', 2e6::DOUBLE), ('none', NULL::DOUBLE)) t(s, v)")
+#: The amounts and shares in the documents, as they are written.
+AMOUNT = "[(]?[$€]?[0-9][0-9,]*(?:[.][0-9]+)?(?: ?(?:million|billion|thousand|[%kKmMbB]\\b))?[)]?"
+
+
+@query("h21_numbers", f"SELECT doc_id, s, round((CASE WHEN regexp_matches(s, '^[(].*[)]$') THEN -1.0 ELSE 1.0 END * try_cast(regexp_extract(regexp_replace(s, '[,$€]', '', 'g'), '[0-9]+(?:[.][0-9]+)?') AS DOUBLE) * CASE WHEN regexp_matches(lower(s), '[0-9 ](?:b|billion)\\b') THEN 1e9 WHEN regexp_matches(lower(s), '[0-9 ](?:m|million)\\b') THEN 1e6 WHEN regexp_matches(lower(s), '[0-9 ](?:k|thousand)\\b') THEN 1e3 WHEN contains(s, '%') THEN 0.01 ELSE 1.0 END)::DOUBLE, 6) AS v FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{AMOUNT}'))) AS s FROM documents WHERE text IS NOT NULL)")
 def h21(spark, d):
-    v = spark.createDataFrame([(x,) for x in ("$1,577.00", "15.3%", "($500)", "$1.5B", "2 million", "none")], "s string")
-    return v.select("s", F.round(fn.number_of("s"), 6).alias("v"))
+    """Every number of every text, with its value."""
+    s = docs(spark, d).where("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(AMOUNT), F.lit(0)))).alias("s"))
+    return s.select("doc_id", "s", F.round(fn.number_of("s"), 6).alias("v"))
 
 
-@query("h22_plain_answers", "SELECT item_id, lower(trim(regexp_replace(regexp_replace(answer, '[*_`\"'']', '', 'g'), '[$€£,]', '', 'g'))) AS a FROM eval_items WHERE NOT regexp_matches(answer, '\\.\\d*0')")
+@query("h22_plain_answers", "SELECT item_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(answer, '[*_`\"'']', '', 'g'), '(?i)^\\s*(?:answer|final answer)\\s*:\\s*', ''), '[$€£,]', '', 'g'), '(\\d+\\.\\d*?)0+\\b', '\\1', 'g'))) AS a FROM eval_items")
 def h22(spark, d):
-    return table(spark, d, "eval_items").where(~F.col("answer").rlike(r"\.\d*0")).select("item_id", fn.plain_answer("answer").alias("a"))
+    return table(spark, d, "eval_items").select("item_id", fn.plain_answer("answer").alias("a"))
 
 
 @query("h27_safe_names", f"SELECT file_id, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') AS safe FROM {PATHS}")
@@ -209,30 +186,67 @@ def i6(spark, d):
 
 @query("i7_fusion", f"WITH c AS (SELECT doc_id, score AS b, n_chars::DOUBLE AS e FROM {BM} JOIN documents USING (doc_id)), s AS (SELECT avg(b) mb, stddev_pop(b) sb, avg(e) me, stddev_pop(e) se FROM c) SELECT doc_id, round(1 / (1 + exp(-(0.6 * coalesce((b - mb) / sb, -3) + 0.4 * coalesce((e - me) / se, -3)))), 4)::DOUBLE AS score FROM c, s")
 def i7(spark, d):
-    b = ranking.bm25(docs(spark, d), "doc_id", "text", ["appeal", "tribunal", "appeal"]).withColumnRenamed("score", "b")
-    both = b.join(docs(spark, d).select("doc_id", F.col("n_chars").cast("double").alias("e")), "doc_id")
+    """Both channels come from one reading of the texts."""
+    both = ranking.bm25(docs(spark, d), "doc_id", "text", ["appeal", "tribunal", "appeal"], keep=("n_chars",))
+    both = both.select("doc_id", F.col("score").alias("b"), F.col("n_chars").cast("double").alias("e"))
     return ranking.fuse(both, "doc_id", {"b": 0.6, "e": 0.4}).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query("i3_file_ranking", f"WITH t AS (SELECT doc_id, source, {TOK} AS w FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, source, len(list_filter(w, lambda x: x = 'appeal')) AS a, len(list_filter(w, lambda x: x = 'report')) AS b FROM t) SELECT doc_id, round(CASE WHEN a > 0 THEN 1.0::DOUBLE * (1 + ln(a)) ELSE 0 END + CASE WHEN b > 0 THEN 1.0::DOUBLE * (1 + ln(b)) ELSE 0 END, 6)::DOUBLE AS score FROM r WHERE a + b > 0 ORDER BY 2 DESC, 1 LIMIT 50")
+CATALOG = "(SELECT d.doc_id, min(m.name) AS name, min(left(d.text, 200)) AS summary FROM documents d JOIN (SELECT DISTINCT file_id, name FROM upload_manifest) m USING (file_id) WHERE d.text IS NOT NULL GROUP BY 1)"
+TREES = "(SELECT DISTINCT doc_id FROM documents WHERE file_id IN (SELECT file_id FROM tree_nodes))"
+
+
+def catalog(spark, d):
+    """(doc_id, name, summary) of the documents that have a file."""
+    m = table(spark, d, "upload_manifest").select("file_id", "name").distinct()
+    return docs(spark, d).where("text is not null").join(m, "file_id").groupBy("doc_id").agg(F.min("name").alias("name"), F.min(F.substring("text", 1, 200)).alias("summary"))
+
+
+def trees(spark, d):
+    return docs(spark, d).join(table(spark, d, "tree_nodes").select("file_id").distinct(), "file_id", "left_semi").select("doc_id").distinct()
+
+
+def _held(word: str) -> str:
+    return f"len(list_filter(string_split(lower(text), chr(10)), lambda x: contains(x, '{word}')))"
+
+
+@query(
+    "i3_file_ranking",
+    f"WITH f AS (SELECT doc_id, source, {_held('appeal')} AS a, {_held('report')} AS b FROM documents WHERE text IS NOT NULL),"
+    " s AS (SELECT doc_id, source, CASE WHEN a > 0 THEN 1 + ln(a) ELSE 0 END + CASE WHEN b > 0 THEN 1 + ln(b) ELSE 0 END AS s0 FROM f WHERE a + b > 0),"
+    f" c AS (SELECT *, lower(concat(summary, ' ', name)) AS low FROM {CATALOG}),"
+    " w AS (SELECT *, regexp_extract_all(low, '[\\p{L}\\p{N}]+') AS t, contains(low, 'appeal report')::INT AS whole FROM c),"
+    " k AS (SELECT doc_id, 5.0 * ((CASE WHEN list_contains(t, 'appeal') THEN 1 WHEN contains(low, 'appeal') THEN 0.5 ELSE 0 END) + (CASE WHEN list_contains(t, 'report') THEN 1 WHEN contains(low, 'report') THEN 0.5 ELSE 0 END) + whole) / (2 + whole) + CASE WHEN length(summary) > 100 THEN 2.0 WHEN length(summary) > 30 THEN 1.5 WHEN length(summary) > 0 THEN 1 ELSE 0 END AS topic FROM w),"
+    f" j AS (SELECT s.doc_id, 0.85 * s0 / max(s0) OVER () * 10 + 0.15 * least(10, coalesce(topic, 0) + CASE WHEN s.doc_id IN (SELECT doc_id FROM {TREES}) THEN 0.5 ELSE 0 END) + CASE WHEN source = 'filings-archive' THEN 3 ELSE 0 END AS score FROM s LEFT JOIN k USING (doc_id)),"
+    " t AS (SELECT doc_id, round(score, 6)::DOUBLE AS score FROM j ORDER BY 2 DESC, 1 LIMIT 50),"
+    " g AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r, max(score) OVER () AS top, CASE WHEN score < 0.5 * lag(score) OVER (ORDER BY score DESC, doc_id) THEN 1 ELSE 0 END AS cut FROM t),"
+    " q AS (SELECT *, sum(cut) OVER (ORDER BY r) AS cuts FROM g) SELECT doc_id, score FROM q WHERE r = 1 OR (score >= 0.3 * top AND cuts = 0)",
+)
 def i3(spark, d):
-    w = docs(spark, d).where("text is not null").select("doc_id", fn.words("text", "[a-z]+").alias("w"))
-    tf = lambda t: F.size(F.filter("w", lambda x: x == t))
-    score = F.round(fn.log_tf(tf("appeal")) * ranking.idf_weight("appeal") + fn.log_tf(tf("report")) * ranking.idf_weight("report"), 6)
-    return w.select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(50)
+    """Lines that hold the keywords, blended with the catalogue, lifted where a tree search chose the file, and pruned."""
+    probed = docs(spark, d).where("source = 'filings-archive'").select("doc_id")
+    return ranking.rank_files(docs(spark, d), "doc_id", "text", ["appeal", "report"], 50, query="appeal report", catalog=catalog(spark, d), trees=trees(spark, d), probed=probed)
 
 
-@query("i8_tree_prefilter", f"SELECT file_id, CASE WHEN contains(lower(name), 'treaty') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(name), 'trea') THEN 0.5 ELSE 0 END + CASE WHEN contains(name, '2001') THEN 3.0 ELSE 0 END::DOUBLE AS score FROM {PATHS} WHERE contains(lower(name), 'trea') OR contains(name, '2001')")
+#: A query as a user would put it: two words of names, one of which is only begun in some, and a year.
+ASKED = "Which treaty and court of 2001?"
+OVERLAP = "CASE WHEN contains({0}, 'treaty') THEN 2.0 WHEN contains({0}, 'trea') THEN 0.5 ELSE 0 END + CASE WHEN contains({0}, 'court') THEN 2.0 WHEN contains({0}, 'cour') THEN 0.5 ELSE 0 END + CASE WHEN contains({0}, '2001') THEN 3.0 ELSE 0 END"
+
+
+@query("i8_tree_prefilter", f"SELECT file_id, score::DOUBLE AS score FROM (SELECT file_id, {OVERLAP.format('stem')} AS score FROM (SELECT file_id, regexp_replace(lower(name), '\\.[^.]+$', '') AS stem FROM {PATHS})) WHERE score >= 0.5")
 def i8(spark, d):
-    low = F.lower("name")
-    s = F.when(low.contains("treaty"), 2.0).otherwise(0.0) + F.when(low.contains("trea"), 0.5).otherwise(0.0) + F.when(F.col("name").contains("2001"), 3.0).otherwise(0.0)
-    return paths(spark, d).select("file_id", s.alias("score")).where("score > 0")
+    return paths(spark, d).select("file_id", ranking.name_overlap("name", ASKED).alias("score")).where("score >= 0.5")
+
+
+#: Asked of every document: a question for a number, with words that some of them hold.
+QUESTION = "What total revenue did the annual report name?"
 
 
-@query("i12_evidence_acceptance", "SELECT doc_id, CASE WHEN length(text) >= 800 AND contains(lower(text), 'report') THEN 'coverage' WHEN regexp_matches(text, '[$€]\\s?[0-9]|[0-9]%') THEN 'numeric' ELSE 'reject' END AS reason FROM documents WHERE text IS NOT NULL")
+@query("i12_evidence_acceptance", "SELECT doc_id, CASE WHEN doc_kind = 'qa' THEN 'complete' WHEN source = 'filings-archive' THEN 'judged' WHEN length(text) >= 800 AND (contains(l, 'total')::INT + contains(l, 'revenue')::INT + contains(l, 'annual')::INT + contains(l, 'report')::INT + contains(l, 'name')::INT) / 5.0 >= 0.3 THEN 'coverage' WHEN regexp_matches(text, '[$€£]\\s?[0-9]|(?:^|[^\\p{L}\\p{N}_])[0-9][0-9,.]*\\s?%|(?:^|[^\\p{L}\\p{N}_])[0-9]{1,3}(?:,[0-9]{3})+') THEN 'numeric' ELSE 'reject' END AS reason FROM (SELECT *, lower(text) AS l FROM documents WHERE text IS NOT NULL)")
 def i12(spark, d):
-    t = F.col("text")
-    return docs(spark, d).where("text is not null").select("doc_id", F.when((F.length(t) >= 800) & F.contains(F.lower(t), F.lit("report")), "coverage").when(t.rlike(r"[$€]\s?[0-9]|[0-9]%"), "numeric").otherwise("reject").alias("reason"))
+    """Every document as evidence; two columns stand for what retrieval and a judge said."""
+    reason = ranking.acceptance(F.lit(QUESTION), "text", F.col("doc_kind") == "qa", F.col("source") == "filings-archive")
+    return docs(spark, d).where("text is not null").select("doc_id", reason.alias("reason"))
 
 
 @query("c12_vector_search", "SELECT vec_id, cos FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS cos FROM embeddings ORDER BY cos DESC, vec_id LIMIT 10) WHERE cos >= 0.5")
@@ -263,8 +277,8 @@ def i20(spark, d):
 
 @query("j1_roi_windows")
 def j1(spark, d):
-    """Windows drawn by hash: no SQL gives the same draws."""
-    return ranking.roi_windows(docs(spark, d), "doc_id", "text", ["appeal", "report", "turbine", "vaccine"])
+    """Windows drawn at random by key: no SQL gives the same draws."""
+    return ranking.roi_windows(docs(spark, d), "doc_id", "text", ["appeal", "report", "turbine"], whole=2000, least=3.0)
 
 
 @query("j5_window_read", "SELECT doc_id, substring(text, greatest(0, least(300, length(text) - 500)) + 1, 500) AS part FROM documents WHERE text IS NOT NULL")
@@ -295,13 +309,8 @@ def j8(spark, d):
     return ranking.stratified_share(paths(spark, d), "folder", [F.desc("size_bytes"), F.col("file_id")], 60).select("file_id", "folder")
 
 
-@query("j11_interval_pages", "SELECT DISTINCT file_id, CAST(page_number AS BIGINT) AS page_number, left(content, 150) AS snippet FROM page_contents WHERE (page_number - 1) % 10 = 0")
+@query("j11_interval_pages", "SELECT DISTINCT file_id, CAST(page_number AS BIGINT) AS page_number, left(content, 150) AS snippet FROM page_contents p WHERE (page_number - 1) % 10 = 0 OR page_number = (SELECT max(page_number) FROM page_contents q WHERE q.file_id = p.file_id)")
 def j11(spark, d):
-    return table(spark, d, "page_contents").where("(page_number - 1) % 10 = 0").select("file_id", F.col("page_number").cast("bigint").alias("page_number"), F.substring("content", 1, 150).alias("snippet")).distinct()
-
-
-@query("j11_interval_pages_all", "SELECT DISTINCT file_id, CAST(page_number AS BIGINT) AS page_number, left(content, 150) AS snippet FROM page_contents p WHERE (page_number - 1) % 10 = 0 OR page_number = (SELECT max(page_number) FROM page_contents q WHERE q.file_id = p.file_id)")
-def j11_all(spark, d):
     """Every tenth page and the last one of each file."""
     p = table(spark, d, "page_contents").select("file_id", F.col("page_number").cast("bigint").alias("page_number"), F.substring("content", 1, 150).alias("snippet"))
     last = p.groupBy("file_id").agg(F.max("page_number").alias("page_number"))

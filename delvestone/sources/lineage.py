@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -22,4 +23,20 @@ def materialise(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
+        atexit.register(_forget, sc)
     return df.checkpoint(eager=True)
+
+
+def _forget(sc) -> None:
+    """Delete this application's checkpoints at its end, where the folder was set here."""
+    try:
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may be gone
+        pass
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -66,7 +66,7 @@ def test_budget(spark):
 
 def test_parents_by_brute_force(spark):
     rng = random.Random(1)
-    own = [(g, i, rng.randint(0, 4)) for g in range(3) for i in range(1, 40)]
+    own = [(g, i, rng.choice([0, 1, 2, 3, 9, 40])) for g in range(3) for i in range(1, 40)]
     df = spark.createDataFrame(own, "g int, i bigint, level int")
     got = {(r.g, r.i): r.parent for r in windows.parents(df, ["g"], "i", "level").collect()}
     for g, i, level in own:
@@ -124,6 +124,16 @@ def test_mmr_prefers_unlike(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0.9), (2, [1.0, 0.01], 0.89), (3, [0.0, 1.0], 0.5)], "k int, v array<double>, s double")
     assert ranking.mmr(df, "k", "v", "s", 2, 0.5) == [1, 3]
     assert ranking.mmr(df.limit(0), "k", "v", "s", 2) == []
+    rng = random.Random(2)
+    many = [(i, [rng.gauss(0, 1) for _ in range(4)], rng.random() if i < 600 else 0.5) for i in range(900)] + [(1000, None, 0.1), (1001, [0.0] * 4, None)]
+    got = ranking.mmr(spark.createDataFrame(many, "k int, v array<double>, s double"), "k", "v", "s", 6, 0.3)
+    vectors = {k: v for k, v, s in many if s is not None}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)) if a and b else 0.0
+    want: list = []
+    for _ in range(6):
+        left = [(0.3 * s - 0.7 * max((cos(vectors[k], vectors[c]) for c in want), default=0.0), -k) for k, v, s in many if s is not None and k not in want]
+        want.append(-max(left)[1])
+    assert got == want
 
 
 def test_samples_are_stable_and_weighted(spark):
@@ -135,9 +145,26 @@ def test_samples_are_stable_and_weighted(spark):
 
 def test_roi_windows_find_the_hits(spark):
     text = "x" * 9000 + " appeal turbine " + "y" * 9000
-    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "appeal")], "d int, t string")
-    got = ranking.roi_windows(df, "d", "t", ["appeal", "turbine"], per_round=40).groupBy("d").agg(F.max("score").alias("s"))
-    assert dict(rows(got)) == {1: 10.0, 4: 5.0}
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "appeal"), (5, "z" * 9000)], "d int, t string")
+    run = lambda **more: rows(ranking.roi_windows(df, "d", "t", ["appeal", "turbine"], whole=1000, **more))
+    got = {}
+    for d, start, end, score in run():
+        got[d] = max(score, got.get(d, 0.0))
+        assert end - start == (500 if d == 1 else 6)
+    assert got == {1: 10.0, 4: 5.0}
+    assert run() == run() and run(least=6.0) == [r for r in run() if r[3] >= 6.0]
+
+
+def test_drawn_windows_keep_apart_and_reach_far():
+    import numpy as np
+
+    rng = random.Random(6)
+    text = "".join(rng.choice("ab ") for _ in range(60_000))
+    found = ranking.windows_of("k", text, ["aab"], np, 3, 8, 500, 10**6, 2, -1.0, 99.0, 1000, 0)
+    starts = sorted(a for a, _, _ in found)
+    assert all(y - x >= 166 for x, y in zip(starts, starts[1:])) and len(starts) > 12
+    assert starts[0] < 60_000 / 8 + 500 and starts[-1] > 60_000 * 7 / 8 - 1000
+    assert all((("aab" in text[a:b]) == (s == 10.0)) for a, b, s in found)
 
 
 @pytest.mark.parametrize("s,v", [("$1,577", 1577), ("1.577K", 1577), ("(1.5)", -1.5), ("15.3%", 0.153), ("2018", 2018), ("-$500", -500), ("", None), (None, None)])
@@ -178,12 +205,37 @@ def test_fingerprint_of_a_long_text(spark):
 def test_headings_tables_and_depths(spark):
     text = "# One\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| x |\n## Two\n3.1 Numbered Part\nChapter IV begins"
     lines = grep.lines(spark.createDataFrame([(1, text)], "doc_id int, text string"))
-    assert [(r.kind, r.level, r.title) for r in structure.headings(lines, "doc_id").orderBy("line_number").collect()] == [("markdown", 1, "One"), ("markdown", 2, "Two"), ("numbered", 2, "Numbered Part"), ("structural", 2, "Chapter IV begins")]
+    assert [(r.kind, r.level, r.title) for r in structure.headings(lines, "doc_id").orderBy("line_number").collect()] == [("markdown", 1, "One"), ("markdown", 2, "Two"), ("numbered", 2, "3.1 Numbered Part"), ("structural", 1, "CHAPTER IV begins")]
     assert structure.cascade(structure.headings(lines, "doc_id"), "doc_id").count() == 2
+    assert structure.outline(structure.headings(lines, "doc_id"), "doc_id").count() == 0  # two Markdown headings are no outline
+    assert structure.outline(structure.headings(lines, "doc_id"), "doc_id", 2).count() == 2
+    more = ["Item 1. Business", "EXHIBIT 4", "annex b", "Section 2: x", "Part I", "Parts of it", "2019 was good", "7." + "x" * 130, "##", "## ", "1.2.3 ", "item"]
+    found = structure.headings(spark.createDataFrame([(1, i, x) for i, x in enumerate(more)], "doc_id int, line_number int, line string"), "doc_id")
+    assert [(r.level, r.title) for r in found.orderBy("line_number").collect()] == [(2, "ITEM 1. Business"), (3, "EXHIBIT 4"), (3, "ANNEX b"), (2, "SECTION 2: x"), (1, "PART I"), (1, "2019 was good"), (2, "1.2 3")]
     digest = structure.table_digests(lines, "doc_id").first()
     assert (digest.n_cols, digest.header) == (2, "| a | b |")
     nodes = spark.createDataFrame([("f", "r", None), ("f", "a", "r"), ("f", "b", "a"), ("f", "lost", "nowhere"), ("f", "x", "y"), ("f", "y", "x")], "f string, n string, p string")
     assert rows(structure.depths(nodes, "f", "n", "p")) == [("f", "a", 1), ("f", "b", 2), ("f", "r", 0)]
+    assert structure.depths(nodes.limit(0), "f", "n", "p").count() == 0
+
+
+def test_a_tree_deeper_than_any_round_count(spark):
+    chain = spark.range(200).selectExpr("'f' as f", "id as n", "case when id > 0 then id - 1 end as p", "concat('t', id) as t")
+    assert rows(structure.depths(chain, "f", "n", "p")) == sorted((("f", i, i) for i in range(200)), key=lambda r: tuple((False, str(x)) for x in r))
+    paths = {r.n: r.path for r in structure.title_paths(chain, "f", "n", "p", "t").collect()}
+    assert paths[3] == "t0 > t1 > t2 > t3" and len(paths) == 200
+
+
+def test_nodes_of_halved_texts(spark):
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choice("ab \n") for _ in range(n))) for i, n in enumerate((0, 1, 90, 101, 1500))] + [(9, None), (10, "x" * 300)]
+    got = structure.recursive_tree(spark.createDataFrame(texts, "k int, t string"), "k", "t", leaf=100).collect()
+    for k, t in texts:
+        own = [r for r in got if r.k == k]
+        inner = {r.parent_id for r in own}
+        leaves = sorted((r.char_start, r.char_end) for r in own if r.node_id not in inner)
+        assert all(b - a <= 100 for a, b in leaves)
+        assert [x for a, b in leaves for x in range(a, b)] == list(range(len(t or "")))
 
 
 def test_cluster_updates(spark):
@@ -206,6 +258,44 @@ def test_conform_and_versions(spark, tmp_path):
     before = store.read()
     store.write(before.union(before))  # reads what it replaces
     assert store.read().count() == 6
+    held = store.version()
+    store.write(spark.range(1), base=held)
+    with pytest.raises(tables.Conflict):  # a second writer that started from the same version
+        tables.VersionedTable(spark, str(tmp_path / "t")).write(spark.range(9), base=held)
+    assert store.read().count() == 1 and store.changed(held) and store.read(held).count() == 6
+    brief = tables.VersionedTable(spark, str(tmp_path / "t"), keep=0.0)
+    brief.write(spark.range(2))
+    assert len(brief.log.numbers()) == 1 and brief.read().count() == 2
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = [tables.Log(spark, str(tmp_path / "l")) for _ in range(8)]
+
+    def commit(i):
+        try:
+            log[i].commit(0, {"by": i})
+            return i
+        except tables.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(commit, range(8)) if x is not None]
+    assert len(won) == 1 and log[0].read(0)["by"] == won[0]
+
+
+def test_a_merge_rewrites_only_touched_buckets(spark, tmp_path):
+    store = tables.KeyedTable(spark, str(tmp_path / "k"), "id", 8)
+    assert store.read() is None
+    put = lambda df: store.merge(df, lambda base, new: new if base is None else joins.upsert(base, new, "id", "t"))
+    assert put(spark.range(100).selectExpr("id", "0 as t")) == 8
+    before = store.log.read(store.log.last())["folders"]
+    assert put(spark.createDataFrame([(5, 1), (1000, 1)], "id bigint, t int")) <= 2
+    after = store.log.read(store.log.last())["folders"]
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2
+    assert rows(store.read().where("t = 1")) == [(1000, 1), (5, 1)] and store.read().count() == 101
+    assert put(spark.createDataFrame([], "id bigint, t int")) == 0
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -225,6 +315,16 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     df = spark.createDataFrame(hits, "who string, k int, s double").select("who", "k", F.timestamp_micros((F.col("s") * 1e6).cast("bigint")).alias("ts"))
     got = {r.k: r.allowed for r in events.rate_limit(df, "who", "ts", "k").collect()}
     assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 6: True, 7: True, 100: True}
+    rng = random.Random(8)
+    long = [(rng.choice("xyz"), i, base + 1000.0 * (i // 40) + rng.random() * 30) for i in range(400)] + [(None, 900, float(base))]
+    many = spark.createDataFrame(long, "who string, k int, s double").select("who", "k", "s", F.timestamp_micros((F.col("s") * 1e6).cast("bigint")).alias("ts"))
+    allowed = {r.k: r.allowed for r in events.rate_limit(many, "who", "ts", "k", (1.0, 2), (60.0, 5)).collect()}
+    for who in ("x", "y", "z", None):
+        recent: list = []
+        for t, k in sorted((int(s * 1e6) / 1e6, k) for w, k, s in long if w == who):
+            recent = [x for x in recent if x > t - 60]
+            assert allowed[k] == (sum(x > t - 1 for x in recent) < 2 and len(recent) < 5)
+            recent += [t] if allowed[k] else []
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = events.rate_limit(stream, "who", "ts", "k").writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -240,7 +340,7 @@ def test_incremental_merge(spark, tmp_path):
     events.incremental(spark, source, schema, str(tmp_path / "cp"), handle)
     spark.createDataFrame([(1, 2, "c"), (3, 1, "d")], schema).coalesce(1).write.mode("append").parquet(source)
     events.incremental(spark, source, schema, str(tmp_path / "cp"), handle)
-    assert rows(tables.VersionedTable(spark, store).read()) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+    assert rows(tables.KeyedTable(spark, store, "id").read()) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
 
 
 def test_streaming_windows_drop_late_rows(spark, tmp_path):
