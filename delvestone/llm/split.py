@@ -17,7 +17,9 @@ named columns are read, others may have any name.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -61,29 +63,44 @@ def structural_end(text: str, low: int, high: int) -> int:
     return high
 
 
-def cohesion_end(text: str, low: int, high: int, block: int = 600) -> int:
-    """The end of a piece at the deepest valley of lexical cohesion in (low, high]."""
+def cohesion_end(text: str, low: int, high: int, block: int = 2000) -> int:
+    """The end of a piece at the deepest valley of lexical cohesion in (low, high].
+
+    Sentences around the window are bags of words, each word weighted by how
+    few of them hold it.  At each sentence end the ``block`` characters before
+    and after are compared; the similarities are smoothed by their neighbours.
+    """
     gaps = [e for m in _SENTENCE.finditer(text, max(0, low - 1)) if low < (e := m.end()) <= high] if high > low else []
     if len(gaps) < 3:
         return structural_end(text, low, high)
+    first, last = max(0, low - block), min(len(text), high + block)
+    ends = [e for m in _SENTENCE.finditer(text, first) if first < (e := m.end()) < last] + [last]
+    bags = [Counter(_WORD.findall(text[a:b].lower())) for a, b in zip([first, *ends], ends)]
+    held = Counter(w for bag in bags for w in bag)
+    weight = {w: math.log(len(bags) / n) for w, n in held.items()}
+    at = [bisect_left(ends, gap) + 1 for gap in gaps]  # sentences before each gap
 
-    def words(a: int, b: int) -> Counter:
-        found = _WORD.findall(text[max(0, a) : b].lower())
-        return Counter(w for w in found if len(w) > 3 or not w.isascii())
+    def vector(bag: Counter) -> dict[str, float]:
+        return {w: math.sqrt(n) * weight[w] for w, n in bag.items()}
 
     near = []
-    for gap in gaps:
-        left, right = words(gap - block, gap), words(gap, gap + block)
-        norm = (sum(v * v for v in left.values()) * sum(v * v for v in right.values())) ** 0.5
-        near.append(sum(v * right[w] for w, v in left.items()) / norm if norm else 0.0)
+    for gap, k in zip(gaps, at):
+        left, right = Counter(), Counter()
+        i = k
+        while i > 0 and gap - (ends[i - 2] if i > 1 else first) <= block:
+            i -= 1
+            left += bags[i]
+        j = k
+        while j < len(bags) and ends[j] - gap <= block:
+            right += bags[j]
+            j += 1
+        a, b = vector(left or bags[k - 1]), vector(right or bags[min(k, len(bags) - 1)])
+        norm = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        near.append(sum(v * b.get(w, 0.0) for w, v in a.items()) / norm if norm else 0.0)
+    near = [(near[max(0, i - 1)] + 2 * x + near[min(len(near) - 1, i + 1)]) / 4 for i, x in enumerate(near)]
     best, deepest = high, -1.0
     for i, gap in enumerate(gaps):
-        a = b = i
-        while a > 0 and near[a - 1] >= near[a]:
-            a -= 1
-        while b + 1 < len(near) and near[b + 1] >= near[b]:
-            b += 1
-        depth = near[a] - near[i] + near[b] - near[i]
+        depth = max(near[: i + 1]) + max(near[i:]) - 2 * near[i]  # against the highest peak on either side
         if depth >= deepest:
             best, deepest = gap, depth
     return best

@@ -57,6 +57,32 @@ def test_cohesion_finds_the_change_of_topic():
     assert abs(end - len(sea) * 45) <= len(law)
 
 
+def test_cohesion_finds_planted_changes_of_topic():
+    """Topics share their common words; sentences are drawn at random, changes planted anywhere in the window."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda a, b: "".join(chr(97 + x) for x in (a, b // 10, b % 10))
+    common = [word(20, i) for i in range(25)]
+    topics = [[word(k, i) for i in range(40)] for k in range(6)]
+
+    def sentence(topic):
+        return " ".join(rng.choice(topic if rng.random() < 0.45 else common) for _ in range(rng.randint(6, 14))).capitalize() + ". "
+
+    hits = blind = 0
+    for _ in range(60):
+        a, b = rng.sample(topics, 2)
+        want, text = rng.randint(2150, 3850), ""
+        while len(text) < want:
+            text += sentence(a)
+        cut = len(text)
+        while len(text) < cut + 3000:
+            text += sentence(b)
+        hits += abs(split.cohesion_end(text, 2000, 4000) - cut) <= 80
+        blind += abs(split.structural_end(text, 2000, 4000) - cut) <= 80
+    assert hits >= 54 and blind < 20
+
+
 def test_frames(spark):
     nodes = spark.createDataFrame(
         [("f", "root", None, [0, 9000], "k"), ("f", "a", "root", [0, 5000], "k"), ("f", "a", "root", [0, 5000], "k"), ("f", "b", "root", [8000, 7000], "k"), ("f", "c", "root", None, "k"), ("g", "x", None, [0, 99999], "k"), ("h", "y", None, [0, 9999], "k")],
