@@ -6,17 +6,22 @@ and pairs; of Han text single signs, pairs and triples), and a document is
 about the subjects that a share of its sentences are about.  The threshold of
 each classifier is calibrated on the training documents.
 
-Labels are weak.  Raters' labels hold for a whole document and are sometimes
-wrong; section headings name a subject only through the words they share with
-classified text.  Training therefore alternates: sentences get the subjects
-that the classifiers and their document's labels agree on, the classifiers are
-fitted again, and the document's own headings, classified, count as further
-votes.  Names of files aren't used: in this data a file's name agrees with its
-document's subject no more often than chance (13 %).
+Labels are weak: those of raters, which hold for a whole document and are
+sometimes wrong, and those of section headings, which hold for the sentences
+under them (in this data a heading's subject is that of 88 % of its section's
+sentences).  A heading's subject isn't given but follows from its words, so
+that training alternates: sentences get the subjects that the classifiers,
+their document's labels and their section's heading agree on, and the
+classifiers are fitted again.  Documents without raters' labels take part by
+their headings.  Addresses (names of files) aren't used: in this data a file's
+name agrees with its document's subject no more often than chance (13 %).
+
+A sentence is about every subject whose classifier exceeds its threshold, if
+by at least 0.8 of what the first one does.
 
 Only training is on samples, of bounded size (``labelled`` documents with and
-``plain`` documents without raters' labels).  Labelling reads every document
-once, whole, with no shuffle.
+``plain`` documents without raters' labels, each of ``longest`` characters at
+most).  Labelling reads every document once, whole, with no shuffle.
 
 Results of the edge cases: null, empty and wordless texts have no subject;
 labels of unknown subjects or documents are left out; repeated labels count
@@ -46,8 +51,13 @@ _END = re.compile(r"[.!?。！？]")
 
 
 def units(text: str) -> tuple[list[str], list[str]]:
-    """Sentences (a line without an end counts if it has four words), and headings."""
-    own, heads = [], []
+    """Sentences (a line without an end counts if it has six words), and headings."""
+    return sections(text)[:2]
+
+
+def sections(text: str) -> tuple[list[str], list[str], list[int]]:
+    """Sentences, headings, and for each sentence the number of the heading that it stands under, or -1."""
+    own, heads, under = [], [], []
     for line in text.split("\n"):
         if _SKIP.match(line):
             if line.lstrip()[:1] == "#":
@@ -58,9 +68,10 @@ def units(text: str) -> tuple[list[str], list[str]]:
                 whole = _END.search(part[-3:]) is not None
                 if whole or len(_WORD.findall(part)) >= 6:
                     own.append(part)
+                    under.append(len(heads) - 1)
                 elif len(part) < 80:
                     heads.append(part)
-    return own, heads
+    return own, heads, under
 
 
 class Words(dict):
@@ -111,13 +122,15 @@ class Classifier:
     weights: np.ndarray  # DIMS x subjects
     threshold: np.ndarray  # of each subject's sentence score
 
+    share: float = 0.8  # a further subject of a sentence exceeds its threshold by at least this share of what the first does
+
     def sentences(self, texts: list[str], words: Words) -> np.ndarray:
-        """The subject's number of each sentence, or -1."""
+        """Whether each sentence (row) is about each subject (column): none, one or several."""
         s = _scores(*features(texts, words), len(texts), self.weights) - self.threshold
-        return np.where(s.max(1) > 0, s.argmax(1), -1)
+        return (s > 0) & (s >= self.share * s.max(1, keepdims=True))
 
 
-def train(subjects: list[str], docs: list[tuple[str, dict[str, int], str]], rounds: int = 9, trust: float = 0.9, smooth: float = 1.0) -> Classifier:
+def train(subjects: list[str], docs: list[tuple[str, dict[str, int], str]], rounds: int = 9, trust: float = 0.9, smooth: float = 1.0, section: float = 0.5) -> Classifier:
     """From (text, votes of raters by subject, language) of each training document.
 
     A weight is the log odds of a subject where the n-gram occurs against the
@@ -126,10 +139,11 @@ def train(subjects: list[str], docs: list[tuple[str, dict[str, int], str]], roun
     """
     k = len(subjects)
     number = {s: i for i, s in enumerate(subjects)}
-    texts, doc = [], []
+    texts, doc, head_of = [], [], []
     prior = np.full((len(docs), k), 1.0 / k)
     for d, (text, votes, _) in enumerate(docs):
-        own, heads = units(text)
+        own, heads, under = sections(text)
+        head_of += [len(texts) + len(own) + u if u >= 0 else -1 for u in under] + [-1] * len(heads)
         texts += own + heads
         doc += [d] * (len(own) + len(heads))
         known = {number[s]: n for s, n in votes.items() if s in number}
@@ -137,7 +151,8 @@ def train(subjects: list[str], docs: list[tuple[str, dict[str, int], str]], roun
             prior[d] = (1 - trust) / k
             for s, n in known.items():
                 prior[d, s] += trust * n / sum(known.values())
-    doc = np.array(doc, np.int64)
+    doc, head_of = np.array(doc, np.int64), np.array(head_of, np.int64)
+    below = np.flatnonzero(head_of >= 0)
     n = len(texts)
     row, feature = features(texts, Words())
     order = np.argsort(row, kind="stable")
@@ -159,9 +174,16 @@ def train(subjects: list[str], docs: list[tuple[str, dict[str, int], str]], roun
         weights = np.clip(np.log(own / np.maximum(1 - own, 1e-6)) - np.log(expected / np.maximum(1 - expected, 1e-6)), -3, 5)
         weights = np.where(seen > 0, weights, 0).astype(np.float32)
         score = np.clip(_scores(row, feature, n, weights), -40, 40)
-        p = np.exp(score - score.max(1, keepdims=True)) * mixed[doc]
-        p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
+        likely = np.exp(score - score.max(1, keepdims=True))
         sure = 1 / (1 + np.exp(-(score.max(1) - 1.5)))  # a sentence that no classifier claims belongs to none
+        own = mixed[doc]
+        if len(below):  # a section's heading, as far as it is claimed, is a label of the sentences under it
+            head = likely[head_of[below]] * own[below]
+            head /= np.maximum(head.sum(1, keepdims=True), 1e-300)
+            weight = section * sure[head_of[below]][:, None]
+            own[below] = (1 - weight) * own[below] + weight * head
+        p = likely * own
+        p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
         posterior = p * sure[:, None]
         if step < 2:
             posterior *= rated[doc][:, None]  # documents without labels join in once there is something to go by
@@ -194,20 +216,19 @@ def shares(classifier: Classifier, texts: list[str | None], words: Words) -> tup
     k = len(classifier.subjects)
     if not len(doc):
         return np.zeros((len(texts), k)), np.zeros(len(texts))
-    s = classifier.sentences(own, words)
-    hit = s >= 0
-    by = np.bincount(doc[hit] * k + s[hit], minlength=len(texts) * k).reshape(-1, k)
+    sentence, subject = np.nonzero(classifier.sentences(own, words))
+    by = np.bincount(doc[sentence] * k + subject, minlength=len(texts) * k).reshape(-1, k)
     return by, np.bincount(doc, minlength=len(texts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, labelled: int = 3000, plain: int = 2000) -> Classifier:
-    """Train on bounded samples of the documents with and without raters' labels."""
+def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, labelled: int = 3000, plain: int = 2000, longest: int = 65_536) -> Classifier:
+    """Train on bounded samples of the documents with and without raters' labels, of ``longest`` characters at most."""
     require(docs, "doc_id", "text", "lang")
     require(labels, "doc_id", "subject", "annotator")
     known = [r[0] for r in bounded(subjects.select("subject").where("subject is not null").distinct().orderBy("subject").limit(1001).collect(), 1000, "subjects")]
     votes = labels.select("doc_id", "subject", "annotator").where(F.col("subject").isin(known)).distinct().groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
     votes = votes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("votes"))
-    text = docs.select("doc_id", "text", "lang").where(F.length("text") > 0)
+    text = docs.select("doc_id", "text", "lang").where(F.length("text").between(1, longest))
 
     def sample(df: DataFrame, limit: int) -> DataFrame:
         rate = max(1, -(-df.count() // limit))
