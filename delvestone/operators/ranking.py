@@ -411,3 +411,12 @@ def key_phrases(df: DataFrame, key: str, text: str, n: int = 2, k: int = 5, leas
     from .windows import top_per_group
 
     return top_per_group(own, [key], [F.desc("times"), F.col("phrase")], k).select(key, "phrase", "times")
+
+
+def evidence_source(table_rows: Column, in_tree: Column, size: Column, hits: Column, small: int = 2000, budget: int = 40_000) -> tuple[Column, Column]:
+    """Where a document's evidence comes from, and how many characters at most: its tables, its tree, the whole of a small one, windows around the hits (wide around few), its head."""
+    source = (
+        F.when(table_rows >= 3, "tables").when(in_tree, "tree").when(size <= small, "whole")
+        .when(hits > 2, "windows").when(hits > 0, "wide windows").otherwise("head")
+    )
+    return source, F.least(size, F.when(source == "head", F.lit(small)).otherwise(F.lit(budget)))

@@ -150,9 +150,9 @@ def v13(spark, d):
     return policies.report(v12(spark, d), "question_type")
 
 
-@query("a5_csv_round_trip", "SELECT c_custkey, c_name, c_nationkey::INT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@query("a5_csv_round_trip", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def a5(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("bigint").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
 
     def make(folder):
         tables.write_csv(c, folder, ";")
@@ -161,16 +161,16 @@ def a5(spark, d):
     return in_folder(spark, make)
 
 
-@query("a6_versions", "SELECT n_nationkey::INT AS n_nationkey, n_name, 2 AS version FROM nation WHERE n_regionkey > 1 UNION ALL SELECT n_nationkey::INT, n_name, 1 FROM nation")
+@query("a6_versions", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, 2::BIGINT AS version FROM nation WHERE n_regionkey > 1 UNION ALL SELECT n_nationkey::BIGINT, n_name, 1 FROM nation")
 def a6(spark, d):
     """Each version of a replaced table stays readable for a stated time."""
-    n = table(spark, d, "nation")
+    n = table(spark, d, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("bigint"))
 
     def make(folder):
         store = tables.VersionedTable(spark, folder)
         first = store.write(n.select("n_nationkey", "n_name"))
         second = store.write(n.where("n_regionkey > 1").select("n_nationkey", "n_name"))
-        return store.read(first).withColumn("version", F.lit(1)).union(store.read(second).withColumn("version", F.lit(2)))
+        return store.read(first).withColumn("version", F.lit(1).cast("bigint")).union(store.read(second).withColumn("version", F.lit(2).cast("bigint")))
 
     return in_folder(spark, make)
 
@@ -199,7 +199,7 @@ def a7(spark, d):
     return in_folder(spark, make)
 
 
-@query("a8_backup_restore", "SELECT r_regionkey, r_name FROM region")
+@query("a8_backup_restore", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
 def a8(spark, d):
     """A store backed up, emptied and restored."""
 
@@ -209,12 +209,12 @@ def a8(spark, d):
         store.drop("region")
         store.delete("nation", "true")
         store.restore(f"{folder}/b")
-        return store.read("region")
+        return store.read("region").withColumn("r_regionkey", F.col("r_regionkey").cast("bigint"))
 
     return in_folder(spark, make)
 
 
-@query("a9_reload", "SELECT r_regionkey, concat(r_name, '!') AS r_name, true AS changed FROM region")
+@query("a9_reload", "SELECT r_regionkey::BIGINT AS r_regionkey, concat(r_name, '!') AS r_name, true AS changed FROM region")
 def a9(spark, d):
     """A reader that holds a version sees that another writer committed, and reads again."""
 
@@ -222,7 +222,7 @@ def a9(spark, d):
         store = _store(spark, d, folder, "region")
         held = store.version()
         catalog.Store(spark, folder).update("region", {"r_name": "concat(r_name, '!')"}, "true")
-        return store.read("region").withColumn("changed", F.lit(store.changed(held)))
+        return store.read("region").withColumns({"r_regionkey": F.col("r_regionkey").cast("bigint"), "changed": F.lit(store.changed(held))})
 
     return in_folder(spark, make)
 
@@ -247,12 +247,46 @@ def a22(spark, d):
     return files.extract(own).select(F.substring_index("path", ".", 1).cast("bigint").alias("doc_id"), "text")
 
 
+@query("a21_image_sizes", "SELECT p_partkey, 'png' AS kind, p_size::BIGINT AS width, p_size::BIGINT + 7 AS height FROM part")
+def a21(spark, d):
+    """Pictures' sizes from their first bytes; here each part's size as the head of a PNG file."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("w"))
+    word = lambda c: F.lpad(F.hex(c), 8, "0")
+    head = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(F.col("w")), word(F.col("w") + 7)))
+    own = files.extract(p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), head.alias("content")))
+    return own.select(F.substring_index("path", ".", 1).cast("bigint").alias("p_partkey"), "kind", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
+
+
+#: A PDF file of two pages with a title, and an outline of two levels; {0} is the title.
+PDF = (
+    "concat('%PDF-1.4', chr(10), '1 0 obj << /Type /Catalog /Pages 2 0 R /Outlines 5 0 R >> endobj', chr(10), '2 0 obj << /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 >> endobj', chr(10),"
+    " '3 0 obj << /Type /Page /Parent 2 0 R >> endobj', chr(10), '4 0 obj << /Type /Page /Parent 2 0 R >> endobj', chr(10), '5 0 obj << /First 6 0 R >> endobj', chr(10),"
+    " '6 0 obj << /Title (', n_name, ') /Dest [3 0 R /Fit] /First 7 0 R >> endobj', chr(10), '7 0 obj << /Title (Region ', n_regionkey, ') /Dest [4 0 R /Fit] >> endobj', chr(10),"
+    " '8 0 obj << /Title (', n_name, ') /Author (N', n_nationkey, ') >> endobj', chr(10), 'trailer << /Root 1 0 R /Info 8 0 R >>', chr(10), 'startxref', chr(10), '0')"
+)
+
+
+def nation_pdfs(spark, d):
+    return files.extract(table(spark, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".pdf")).alias("path"), F.encode(F.expr(PDF), "utf-8").alias("content")))
+
+
+@query("k6_pdf_outlines", "SELECT n_nationkey::BIGINT AS n_nationkey, 1::BIGINT AS level, n_name AS title, 1::BIGINT AS page FROM nation UNION ALL SELECT n_nationkey::BIGINT, 2, concat('Region ', n_regionkey), 2 FROM nation")
+def k6(spark, d):
+    h = nation_pdfs(spark, d).select(F.substring_index("path", ".", 1).cast("bigint").alias("n_nationkey"), F.explode("headings").alias("h"))
+    return h.select("n_nationkey", F.col("h.level").cast("bigint").alias("level"), "h.title", F.col("h.part").cast("bigint").alias("page"))
+
+
+@query("a25_pdf_metadata", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name AS title, concat('N', n_nationkey) AS author, 2::BIGINT AS n_parts FROM nation")
+def a25(spark, d):
+    return nation_pdfs(spark, d).select(F.substring_index("path", ".", 1).cast("bigint").alias("n_nationkey"), "title", "author", F.col("n_parts").cast("bigint").alias("n_parts"))
+
+
 @query("b24_search_schema", "SELECT table_name, CAST(NULL AS VARCHAR) AS column_name FROM (VALUES ('nation'), ('region'), ('supplier')) t(table_name) WHERE contains(table_name, 'nation') UNION ALL SELECT * FROM (VALUES ('nation', 'n_nationkey'), ('supplier', 's_nationkey')) t(a, b)")
 def b24(spark, d):
     return in_folder(spark, lambda folder: _store(spark, d, folder, "nation", "region", "supplier").search("NATION"))
 
 
-@query("v1_describe", "SELECT * FROM (VALUES ('nation', 'n_nationkey', 0), ('nation', 'n_name', 1), ('nation', 'n_regionkey', 2)) t(table_name, column_name, position)")
+@query("v1_describe", "SELECT table_name, column_name, position::BIGINT AS position FROM (VALUES ('nation', 'n_nationkey', 0), ('nation', 'n_name', 1), ('nation', 'n_regionkey', 2)) t(table_name, column_name, position)")
 def v1(spark, d):
     """Tables made, dropped and made again."""
 
@@ -261,12 +295,12 @@ def v1(spark, d):
         store.drop("nation")
         store.create("nation", table(spark, d, "nation").schema)
         store.drop("region")
-        return store.describe().select("table_name", "column_name", "position")
+        return store.describe().select("table_name", "column_name", F.col("position").cast("bigint").alias("position"))
 
     return in_folder(spark, make)
 
 
-@query("v2_insert", "SELECT n_nationkey::INT AS n_nationkey, n_name, n_regionkey::INT AS n_regionkey FROM nation")
+@query("v2_insert", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def v2(spark, d):
     """Rows given as one dict, a list of dicts, a pandas frame and a frame."""
 
@@ -280,7 +314,7 @@ def v2(spark, d):
         store.insert("nation", n.where(F.col("n_nationkey").isin([r["n_nationkey"] for r in rows[4:]])).toPandas())
         store.insert("nation", n.where(~F.col("n_nationkey").isin([r["n_nationkey"] for r in rows])))
         store.vacuum()
-        return store.read("nation")
+        return store.read("nation").withColumns({c: F.col(c).cast("bigint") for c in ("n_nationkey", "n_regionkey")})
 
     return in_folder(spark, make)
 
@@ -320,12 +354,12 @@ def v4(spark, d):
     return in_folder(spark, make)
 
 
-@query("v5_standard_tables", "SELECT * FROM (VALUES ('chat_messages', 7), ('chat_sessions', 6), ('chunks', 7), ('documents', 9), ('knowledge_clusters', 25), ('search_history', 6), ('system_metrics', 6), ('user_activities', 6)) t(table_name, n_columns)")
+@query("v5_standard_tables", "SELECT table_name, n_columns::BIGINT AS n_columns FROM (VALUES ('chat_messages', 7), ('chat_sessions', 6), ('chunks', 7), ('documents', 9), ('knowledge_clusters', 25), ('search_history', 6), ('system_metrics', 6), ('user_activities', 6)) t(table_name, n_columns)")
 def v5(spark, d):
     def make(folder):
         store = catalog.Store(spark, folder)
         store.create_standard()
-        return store.overview().select("table_name", "n_columns")
+        return store.overview().select("table_name", F.col("n_columns").cast("bigint").alias("n_columns"))
 
     return in_folder(spark, make)
 

@@ -211,11 +211,14 @@ def i18(spark, d):
     return nodes(spark, d).select("file_id", "node_id", r.alias("route"))
 
 
-@query("i22_evidence_cascade", f"WITH t AS (SELECT doc_id, count(*) AS n FROM {LINES} WHERE starts_with(line, '|') GROUP BY 1) SELECT d.doc_id, CASE WHEN t.n >= 3 THEN 'tables' WHEN d.n_chars <= 2000 THEN 'whole' WHEN contains(lower(d.text), 'report') THEN 'windows' ELSE 'head' END AS source FROM documents d LEFT JOIN t USING (doc_id) WHERE d.text IS NOT NULL")
+@query("i22_evidence_cascade", f"WITH t AS (SELECT doc_id, count(*) FILTER (WHERE starts_with(line, '|')) AS n, count(*) FILTER (WHERE contains(lower(line), 'report')) AS h FROM {LINES} GROUP BY 1), s AS (SELECT d.doc_id, length(d.text) AS size, CASE WHEN t.n >= 3 THEN 'tables' WHEN d.file_id IN (SELECT file_id FROM tree_nodes) THEN 'tree' WHEN length(d.text) <= 2000 THEN 'whole' WHEN t.h > 2 THEN 'windows' WHEN t.h > 0 THEN 'wide windows' ELSE 'head' END AS source FROM documents d LEFT JOIN t USING (doc_id) WHERE d.text IS NOT NULL) SELECT doc_id, source, least(size, CASE WHEN source = 'head' THEN 2000 ELSE 40000 END)::BIGINT AS most FROM s")
 def i22(spark, d):
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: x.startswith("|")))
-    r = F.when(n >= 3, "tables").when(F.col("n_chars") <= 2000, "whole").when(F.contains(F.lower("text"), F.lit("report")), "windows").otherwise("head")
-    return docs(spark, d).where("text is not null").select("doc_id", r.alias("source"))
+    """Where a document's evidence is to come from, and how many characters of it at most."""
+    lines = F.split("text", "\n")
+    t = docs(spark, d).where("text is not null").join(table(spark, d, "tree_nodes").select("file_id").where("file_id is not null").distinct().withColumn("tree", F.lit(True)), "file_id", "left")
+    rows, hits = F.size(F.filter(lines, lambda x: x.startswith("|"))), F.size(F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("report"))))
+    source, most = ranking.evidence_source(rows, F.coalesce("tree", F.lit(False)), F.length("text"), hits)
+    return t.select("doc_id", source.alias("source"), most.cast("bigint").alias("most"))
 
 
 @query("i25_target_choice", f"SELECT p.folder, p.file_id FROM (SELECT p.*, row_number() OVER (PARTITION BY folder ORDER BY CASE WHEN file_id IN (SELECT file_id FROM tree_nodes) THEN 0 ELSE 1 END, name, file_id) AS r FROM {PATHS} p) p WHERE r <= 3")
