@@ -8,7 +8,9 @@ size follows the number of vectors, so that a cell holds some ``per_cell`` of
 them however many there are.
 
 Every vector is stored in the cell of its own code, with its codes and the
-norm of their sum, and asks in the ``probes`` cells nearest to it.  In a cell,
+norm of their sum, and asks in the cells nearest to it: ``probes`` of them, or
+as many as it takes to meet a share ``recall`` of the true neighbours of some
+200 vectors, which are compared with all others beforehand.  In a cell,
 tables of inner products between the asking vectors and all codewords score
 the stored codes; the ``shortlist`` best are compared exactly by cosine.
 
@@ -157,7 +159,7 @@ def _copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 def most_similar(
     df: DataFrame, id_col: str, vector_col: str, model_col: str, dim: int, k: int = 5, min_cos: float = -1.0,
     per_cell: int = 300, probes: int = 3, shortlist: int = 64,
-    books: int = 6, size: int = 64, width: int = 8, train: int = 12_000, part: int = 4096,
+    books: int = 6, size: int = 64, width: int = 8, train: int = 12_000, part: int = 4096, recall: float = 0.95,
 ) -> DataFrame:
     """(id, other, cos): for each id the k most similar others of its model, of at least ``min_cos``."""
     spark = df.sparkSession
@@ -188,6 +190,7 @@ def most_similar(
     fitted = Codebooks.fit(sample, coarse + [size] * books)
 
     depth = level + books
+    probes = enough_probes(stored, fitted, dim, n, k, min_cos, width, level, depth, probes, recall)
     parts = hot_cells(stored, spark.sparkContext.broadcast(fitted), dim, width, level, depth, part)
     shared = spark.sparkContext.broadcast((fitted, parts))
 
@@ -282,6 +285,56 @@ def places(mine: int, m: int, home: bool) -> Iterator[tuple[int, bool, bool]]:
                 yield other * m + mine, False, True
 
 
+def enough_probes(
+    stored: DataFrame, f: Codebooks, dim: int, n: int, k: int, min_cos: float, width: int, level: int, depth: int, least: int, recall: float, ask: int = 200, most: int = 4096,
+) -> int:
+    """In how many cells a vector must ask so that a share ``recall`` of the true pairs is met, ``least`` at least.
+
+    Some ``ask`` vectors are compared with all others, exactly; of their
+    nearest ones it is noted at which place of the asker's cells they lie.
+    """
+    rate = max(1, n // ask)
+    rows = stored.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(rate)) == 0).select("id", "model", "v").limit(4 * ask).collect()
+    if not rows:
+        return least
+    q = _unit(np.asarray([r["v"] for r in rows], np.float32))
+    inner = q @ f.words.T
+    near = f.cells(f.beam(inner, min(most, int(np.prod(f.sizes[:level]))), level)[0], level)
+    homes = f.cells(f.beam(inner, width, depth)[0][:, 0], level)
+    places = []
+    for home, cells in zip(homes.tolist(), near.tolist()):
+        own = {c: i for i, c in enumerate([home, *(c for c in cells if c != home)])}
+        places.append(own)
+    shared = stored.sparkSession.sparkContext.broadcast((f, q, [r["id"] for r in rows], [r["model"] for r in rows], places))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, q, ids, models, places = shared.value
+        names, number = np.asarray(models, dtype=object), {x: i for i, x in enumerate(ids)}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                batch = whole.slice(at, 8192)
+                x = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim))
+                cos = q @ x.T
+                cos[names[:, None] != np.asarray(batch.column(1).to_pylist(), dtype=object)[None, :]] = -2
+                for j, i in enumerate(batch.column(0).to_pylist()):
+                    if i in number:
+                        cos[number[i], j] = -2
+                top = np.argpartition(-cos, min(k, len(x)) - 1, axis=1)[:, :k]
+                asker, col = np.nonzero(np.take_along_axis(cos, top, 1) >= max(min_cos, -1.0))
+                other = top[asker, col]
+                kept, back = np.unique(other, return_inverse=True)
+                home = f.cells(f.beam(x[kept] @ f.words.T, width, depth)[0][:, 0], level) if len(kept) else np.zeros(0, np.int64)
+                place = [places[a].get(int(home[b]), most) for a, b in zip(asker.tolist(), back.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(asker, pa.int32()), pa.array(cos[asker, other], pa.float64()), pa.array(place, pa.int32())], names=["asker", "cos", "place"])
+
+    pairs = stored.select("id", "model", "v").mapInArrow(run, "asker int, cos double, place int")
+    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("cos"), "place"))).where(F.col("r") <= k)
+    found = sorted(r[0] for r in best.select("place").collect())  # k rows for each asker
+    if not found:
+        return least
+    return max(least, min(most, found[min(len(found) - 1, max(0, int(np.ceil(recall * len(found))) - 1))] + 1))
+
+
 def hot_cells(stored: DataFrame, shared, dim: int, width: int, level: int, depth: int, part: int, rate: int = 16, most: int = 1_000_000) -> dict[tuple[str, int], int]:
     """In how many parts each cell of more than two parts' vectors is cut.
 

@@ -97,3 +97,14 @@ def test_every_pair_meets_once():
                 stored = {g for g, _, home in similar.places(b, m, True) if home}
                 assert len(ask & stored) == 1
         assert sum(1 for _ in similar.places(0, m, True)) == 2 * m - 1
+
+
+def test_as_many_cells_are_asked_as_it_takes(spark):
+    """Without clusters neighbours lie in many cells; more are asked until enough of them are met."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 32)).astype(np.float32)
+    rows = [(f"v{i:04d}", "a", [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 5, -1.0)
+    share = lambda **more: len({(r.id, r.other) for r in similar.most_similar(df, "id", "v", "m", 32, k=5, per_cell=30, books=4, size=16, **more).collect()} & want) / len(want)
+    assert share() >= 0.9 > 0.6 > share(recall=0.0)
