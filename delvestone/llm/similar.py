@@ -16,9 +16,10 @@ the stored codes; the ``shortlist`` best are compared exactly by cosine.
 
 Skew: vectors that are equal bit by bit are collapsed to the ``k + 1`` smallest
 ids before anything moves, since no other copy can be among anyone's k most
-similar; a cell of more than ``2 * part`` vectors, by a count of one vector in
-sixteen, is cut: its stored vectors and its askers are divided into parts, and
-each pair of a part of the one and a part of the other is a group of its own.
+similar; a cell of more than ``2 * part`` stored vectors, or of more than
+``4 * part`` askers, by a count of one vector in sixteen, is cut: both are
+divided into parts, and each pair of a part of the one and a part of the other
+is a group of its own.
 
 The codebooks are fitted on a bounded sample (``train`` vectors, or 8 for each
 cell of the first codebook, at most 2 * 32,768); every vector
@@ -191,7 +192,7 @@ def most_similar(
 
     depth = level + books
     probes = enough_probes(stored, fitted, dim, n, k, min_cos, width, level, depth, probes, recall)
-    parts = hot_cells(stored, spark.sparkContext.broadcast(fitted), dim, width, level, depth, part)
+    parts = hot_cells(stored, spark.sparkContext.broadcast(fitted), dim, width, level, depth, probes, part)
     shared = spark.sparkContext.broadcast((fitted, parts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +211,7 @@ def most_similar(
                     home = int(homes[i])
                     asked = [home, *(c for c in near[i].tolist() if c != home)][: max(probes, 1)]
                     for cell in asked:
-                        m = cut.get((name, cell), 1)
-                        for group, asks, is_home in places(hash_id(x) % m, m, cell == home):
+                        for group, asks, is_home in places(hash_id(x), *cut.get((name, cell), (1, 1)), cell == home):
                             for column, value in zip(out, (name, cell, group, x, packed[i], code[i].astype(np.int32).tobytes() if is_home else None, float(norm[i]), asks)):
                                 column.append(value)
                 yield pa.RecordBatch.from_arrays(
@@ -272,17 +272,18 @@ def hash_id(x: str) -> int:
     return zlib.crc32(x.encode("utf-8", "surrogatepass"))
 
 
-def places(mine: int, m: int, home: bool) -> Iterator[tuple[int, bool, bool]]:
-    """(group, whether it asks there, whether it is stored there) of a vector of part ``mine`` in a cell of ``m`` parts.
+def places(h: int, askers: int, parts: int, home: bool) -> Iterator[tuple[int, bool, bool]]:
+    """(group, whether it asks there, whether it is stored there) of a vector of hash ``h`` in a cell of so many parts of askers and of stored vectors.
 
-    There is a group for each pair of a part of the askers and one of the stored.
+    There is a group for each pair of a part of the one and a part of the other.
     """
-    for other in range(m):
-        yield mine * m + other, True, home and other == mine
+    ask, own = h % askers, h % parts
+    for part in range(parts):
+        yield ask * parts + part, True, home and part == own
     if home:
-        for other in range(m):
-            if other != mine:
-                yield other * m + mine, False, True
+        for other in range(askers):
+            if other != ask:
+                yield other * parts + own, False, True
 
 
 def enough_probes(
@@ -335,11 +336,14 @@ def enough_probes(
     return max(least, min(most, found[min(len(found) - 1, max(0, int(np.ceil(recall * len(found))) - 1))] + 1))
 
 
-def hot_cells(stored: DataFrame, shared, dim: int, width: int, level: int, depth: int, part: int, rate: int = 16, most: int = 1_000_000) -> dict[tuple[str, int], int]:
-    """In how many parts each cell of more than two parts' vectors is cut.
+def hot_cells(
+    stored: DataFrame, shared, dim: int, width: int, level: int, depth: int, probes: int, part: int, rate: int = 16, most: int = 1_000_000,
+) -> dict[tuple[str, int], tuple[int, int]]:
+    """In how many parts the askers, and the stored vectors, of each cell with very many of either are cut.
 
-    Cells are counted on one vector in ``rate``, whatever their number, so
-    that a cell to be cut is seen some ``2 * part / rate`` times.
+    A cell near the middle of all vectors may be asked by most of them.  Cells
+    are counted on one vector in ``rate``, whatever their number, so that a
+    cell to be cut is seen some ``2 * part / rate`` times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,9 +352,16 @@ def hot_cells(stored: DataFrame, shared, dim: int, width: int, level: int, depth
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
-                homes = f.cells(f.beam(_unit(raw) @ f.words.T, width, depth)[0][:, 0], level)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(homes)], names=["model", "cell"])
-
-    seen = stored.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(rate)) == 0).select("model", "v").mapInArrow(run, "model string, cell bigint")
-    rows = seen.groupBy("model", "cell").agg((F.count("*") * rate).alias("n")).where(F.col("n") > 2 * part).limit(most + 1).collect()
-    return {(r["model"], r["cell"]): -(-r["n"] // part) for r in bounded(rows, most, "cells to cut")}
+                inner = _unit(raw) @ f.words.T
+                homes = f.cells(f.beam(inner, width, depth)[0][:, 0], level)
+                near = f.cells(f.beam(inner, max(width, probes), level)[0][:, :probes], level)
+                row, col = np.nonzero(near != homes[:, None])
+                row = np.concatenate([np.arange(len(homes)), row])
+                cells = np.concatenate([homes, near[near != homes[:, None]]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cells), pa.array(np.arange(len(cells)) < len(homes))], names=["model", "cell", "home"])
+
+    seen = stored.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(rate)) == 0).select("model", "v").mapInArrow(run, "model string, cell bigint, home boolean")
+    sizes = seen.groupBy("model", "cell").agg((F.count("*") * rate).alias("asked"), (F.count_if("home") * rate).alias("n"))
+    rows = sizes.where((F.col("n") > 2 * part) | (F.col("asked") > 4 * part)).limit(most + 1).collect()
+    parts = lambda n, size: max(1, -(-n // size)) if n > 2 * size else 1
+    return {(r["model"], r["cell"]): (parts(r["asked"], 2 * part), parts(r["n"], part)) for r in bounded(rows, most, "cells to cut")}

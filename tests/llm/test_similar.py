@@ -90,13 +90,13 @@ def test_cut_cells_lose_nothing(spark):
 
 
 def test_every_pair_meets_once():
-    for m in (1, 2, 5):
-        for a in range(m):
-            for b in range(m):
-                ask = {g for g, asks, _ in similar.places(a, m, False) if asks}
-                stored = {g for g, _, home in similar.places(b, m, True) if home}
+    for askers, parts in ((1, 1), (2, 2), (5, 3), (3, 1), (1, 4)):
+        for a in range(30):
+            for b in range(30):
+                ask = {g for g, asks, _ in similar.places(a, askers, parts, False) if asks}
+                stored = {g for g, _, home in similar.places(b, askers, parts, True) if home}
                 assert len(ask & stored) == 1
-        assert sum(1 for _ in similar.places(0, m, True)) == 2 * m - 1
+        assert sum(1 for _ in similar.places(7, askers, parts, True)) == askers + parts - 1
 
 
 def test_as_many_cells_are_asked_as_it_takes(spark):
